@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from netweft.llm.byte_bpe import op8_byte_bpe
+from netweft.llm.minhash import op1_minhash
 from netweft.llm.pii import op10_pii
 from netweft.llm.token_files import op6_token_files
 from netweft.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,
     "op8_byte_bpe": op8_byte_bpe,
