@@ -183,7 +183,7 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     """The counts and digests of ``detect`` over whole ``documents``."""
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    of = {k: F.filter("spans", lambda x, k=k: x["kind"] == k) for k in (*BASE, *ADDED)}
+    of = {k: F.filter("spans", _is(k)) for k in (*BASE, *ADDED)}
     joined = lambda kinds: F.array_join(
         F.flatten(F.array(*(F.transform(F.array_sort(of[k], _by_start), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])) for k in kinds))), ","
     )
@@ -196,6 +196,10 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def _by_start(a, b):
     return F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
 
