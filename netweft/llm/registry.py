@@ -2,12 +2,16 @@
 from __future__ import annotations
 
 from netweft.llm.byte_bpe import op8_byte_bpe
+from netweft.llm.decontamination import op7_decontamination
 from netweft.llm.minhash import op1_minhash
 from netweft.llm.pii import op10_pii
+from netweft.llm.quality import op5_quality
 from netweft.llm.token_files import op6_token_files
 from netweft.llm.warc import op4_warc
 
 QUERIES = {
+    "op5_quality": op5_quality,
+    "op7_decontamination": op7_decontamination,
     "op1_minhash": op1_minhash,
     "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,

@@ -41,4 +41,8 @@ def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     h = word_hashes(words_of(text))
-    return np.unique(sequence_hashes(h, min(n, len(h)))) if len(h) else h
+    if not len(h):
+        return h
+    s = sequence_hashes(h, min(n, len(h)))
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
