@@ -6,10 +6,12 @@ from netweft.llm.decontamination import op7_decontamination
 from netweft.llm.minhash import op1_minhash
 from netweft.llm.pii import op10_pii
 from netweft.llm.quality import op5_quality
+from netweft.llm.repeats import op3_repeats
 from netweft.llm.token_files import op6_token_files
 from netweft.llm.warc import op4_warc
 
 QUERIES = {
+    "op3_repeats": op3_repeats,
     "op5_quality": op5_quality,
     "op7_decontamination": op7_decontamination,
     "op1_minhash": op1_minhash,
