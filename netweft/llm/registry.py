@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from netweft.llm.byte_bpe import op8_byte_bpe
 from netweft.llm.decontamination import op7_decontamination
+from netweft.llm.language import op9_language
 from netweft.llm.media import op2_media
 from netweft.llm.minhash import op1_minhash
 from netweft.llm.pii import op10_pii
@@ -12,6 +13,7 @@ from netweft.llm.token_files import op6_token_files
 from netweft.llm.warc import op4_warc
 
 QUERIES = {
+    "op9_language": op9_language,
     "op2_media": op2_media,
     "op3_repeats": op3_repeats,
     "op5_quality": op5_quality,
