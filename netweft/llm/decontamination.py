@@ -138,18 +138,40 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST
 ) -> DataFrame:
     """(key, leaks): for each row of ``docs``, the items that share a seed with it, with the share of their words that tiles cover."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES)
     out = keyed_texts(docs, key, text).select("key", "text", F.expr("cast(array() as array<struct<item_id long, coverage double, tiles long>>)").alias("leaks"))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(Seeds(sorted(((r.i, r.t) for r in rows), key=lambda x: (x[0] is not None, x)), least))
+    for held in _blocks(benchmark, item, item_text, least):
         out = out.mapInArrow(_compared(held), _SCHEMA)
     return out.select(F.col("key").alias(key), "leaks")
 
 
+def _blocks(benchmark: DataFrame, item: str, text: str, least: int) -> Iterator:
+    """Broadcast seeds of the items, BLOCK_BYTES of text or about that in each."""
+    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    n = -(-size // BLOCK_BYTES)
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Seeds(sorted(((r.i, r.t) for r in rows), key=lambda x: (x[0] is not None, x)), least))
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, into which no item leaks."""
+
+    def of(held):
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in pieces(batches, text):
+                clean = [all(x["coverage"] < threshold for x in held.value.leaks(t)) for t in part.column(text).to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+        return mapped
+
+    for held in _blocks(benchmark, item, item_text, least):
+        docs = docs.mapInArrow(of(held), docs.schema)
+    return docs
+
+
 def _compared(held):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):

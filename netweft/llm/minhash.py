@@ -236,6 +236,15 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, form: Signatures = Signatures()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps; rows that repeat an id and its text are one.
+
+    Rows with a null id stay if any of them is kept.
+    """
+    kept = near_duplicates(docs, key, text, words, percent, form).where("kept").select(F.col(key).alias("__kept_key"))
+    return docs.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("__kept_key")), "left_semi").dropDuplicates([key, text])
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates in whole ``documents``, by shingles of four words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)

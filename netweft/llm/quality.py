@@ -191,13 +191,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     return model, *fit_scorer(x, np.array([model.probability(r["votes"]) for r in taken]))
 
 
+def _quality(text: str, weights: np.ndarray, bias: float) -> float:
+    return 1 / (1 + float(np.exp(-np.clip(float(features(text) @ weights) + bias, -30, 30)))) if text.strip() else 0.0
+
+
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """(key, quality, kept), a row for each row of ``docs``: the scorer's probability that it is good, and whether that reaches ``threshold``."""
     _, weights, bias = fit(docs, key, text, sample)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            scores = [1 / (1 + np.exp(-np.clip(float(features(x) @ weights) + bias, -30, 30))) if x.strip() else 0.0 for x in part.column("text").to_pylist()]
+            scores = [_quality(x, weights, bias) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores, pa.float64())], ["key", "quality"])
 
     return (
@@ -207,6 +211,17 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
     )
 
 
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify`` keeps."""
+    _, weights, bias = fit(docs, key, text, sample)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            yield part.filter(pa.array([_quality(x or "", weights, bias) >= threshold for x in part.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(mapped, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores whole ``documents``."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

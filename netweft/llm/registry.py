@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 from __future__ import annotations
 
+import corpus_pipeline
 from netweft.llm.byte_bpe import op8_byte_bpe
 from netweft.llm.decontamination import op7_decontamination
 from netweft.llm.language import op9_language
@@ -13,6 +14,7 @@ from netweft.llm.token_files import op6_token_files
 from netweft.llm.warc import op4_warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op9_language": op9_language,
     "op2_media": op2_media,
     "op3_repeats": op3_repeats,
