@@ -56,6 +56,31 @@ def planted_messages(pairs: DataFrame, labels: DataFrame, q: int, weight: float
     return own.select("t", "recv", "send", "w_fwd", "w_rev", *(F.expr(e).alias(f"psi{i}") for i, e in enumerate(psi)))
 
 
+def initial_state(pairs: DataFrame, labels: DataFrame, q: int, mode: str = "planted", weight: float = 0.6, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(messages, nodes) to start from: ``planted`` near labels (node, t, q), ``uniform``, or ``random`` by a hash of the row.
+
+    With metadata that has one category for each group, its labels make ``planted`` start from the metadata.
+    """
+    if mode == "planted":
+        return planted_messages(pairs, labels, q, weight), planted_nodes(labels, q, weight)
+    if mode == "uniform":
+        draw = lambda *key: [F.lit(1.0)] * q
+    elif mode == "random":
+        draw = lambda *key: [(F.pmod(F.xxhash64(*key, F.lit(k), F.lit(seed)), F.lit(1 << 20)) + 1) / (1 << 20) for k in range(q)]
+    else:
+        raise ValueError(f"no such start: {mode}")
+
+    def shares(df: DataFrame, name: str, *key: str) -> list:
+        own = draw(*key)
+        total = own[0]
+        for x in own[1:]:
+            total = total + x
+        return [(x / total).alias(f"{name}{k}") for k, x in enumerate(own)]
+
+    nodes = labels.select("node", "t", *shares(labels, "p", "node", "t"))
+    return pairs.select("*", *shares(pairs, "psi", "send", "recv", "t")), with_temporal(nodes, q)
+
+
 def field_terms(messages: DataFrame, beta: DataFrame, q: int, directed: bool = False) -> DataFrame:
     """Adds f0..: what the sender's message says of each group of the receiver."""
     b, psi = beta_columns(q), X.cols("psi", q)

@@ -127,6 +127,30 @@ def masked_labels(labels: DataFrame, q: int, share: float, seed: int = 6) -> Dat
     return labels.select("node", "t", F.when(u < share, F.floor(uniform("t", "node", seed=seed + 1) * q).cast("int")).otherwise(F.col("q")).alias("q"))
 
 
+def aligned_labels(labels: DataFrame, q: int, target: float, score: str = "ari", step: float = 0.01, most: int = 100, seed: int = 6) -> DataFrame:
+    """Labels redrawn, a share of the rows more in each trial, until every snapshot's score against the first ones is below ``target``.
+
+    The redrawn rows of a trial include those of the one before, so the share is found by halving.
+    """
+    from netweft.operators import partition
+
+    table = lambda share: partition.contingency(labels, masked_labels(labels, q, share, seed))
+    below = lambda share: max(
+        (r[0] for r in (partition.ari_by_time(table(share)).select("ari") if score == "ari" else partition.mutual_information(table(share)).select("nmi")).collect()), default=0.0
+    ) < target
+    low, high = 0, min(most, int(1 / step))
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if below(mid * step) else (mid + 1, high)
+    return masked_labels(labels, q, high * step, seed)
+
+
+def expected_degree(n: int, q: int, p_in: float, p_out: float) -> tuple[float, float]:
+    """Mean and variance of a node's degree."""
+    size = n / q
+    return size * (p_in + (q - 1) * p_out), size * (p_in * (1 - p_in) + (q - 1) * p_out * (1 - p_out))
+
+
 def default_grid() -> list[dict]:
     """The recovery experiments: eight settings of 100 nodes, four groups and five snapshots."""
     return [

@@ -389,6 +389,18 @@ def greedy_categorical_gain(s, d):
     return rounded(greedy.categorical_gain(field, T.labelled(field.select("node", "t")), Q), "gain")
 
 
+def _metadata_gain(dist: str) -> Query:
+    def f(s, d):
+        fields = T.part_fields(s, d)
+        return rounded(greedy.metadata_gain(fields[dist], fields["shares"].select("node", "t", "q"), Q, dist), "gain")
+
+    return f
+
+
+for _name in ("poisson", "bernoulli", "multinomial"):
+    QUERIES[f"greedy_{_name}_gain"] = _metadata_gain(_DISTS[_name])
+
+
 # What follows has no oracle: inference, simulation and learning.
 _QUICK = {"max_iter": 2, "max_msg_iter": 3}
 
@@ -415,6 +427,11 @@ def em_hierarchy(s, d):
     return em.hierarchy(T.edges(s, d), 2, 2, Settings(fe_freq=2), max_iter=1, max_msg_iter=2)
 
 
+@query
+def greedy_transition_gain(s, d):
+    return rounded(greedy.transition_gain(T.labels(s, d), Q), "gain")
+
+
 @query
 def simulate_network(s, d):
     return simulate.network(s, 200, 4, 5, 10.0, 2.0, 0.8)[0]

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from netweft.functions import formulas as X
-from netweft.operators.greedy import categorical_gain_formula, edge_gain_formula
+from netweft.operators.greedy import bernoulli_gain_formula, categorical_gain_formula, cell_gain_formula, edge_gain_formula, poisson_gain_formula
 from netweft.plans.fixtures import ALPHA, PI, Q, param_formula
 
 _q = range(Q)
@@ -115,6 +115,20 @@ def _mstep(dist: str) -> str:
     return _with(_YEARS, _YLAB) + " UNION ALL ".join(f"SELECT t, q, {l} AS l, {rnd(f'sum(CAST({c} AS DOUBLE)) / {below}', 'v')} FROM ylab GROUP BY t, q" for l, c in enumerate(columns))
 
 
+def _gain(columns: list[str], formula: str, total: bool = False) -> str:
+    """Gains of a field's positions, summed; total: less the same of their sum."""
+    cells = [f"SELECT node, t, q, {i} AS l, CAST({c} AS DOUBLE) AS x FROM ylab" for i, c in enumerate(columns)]
+    if total:
+        cells.append(f"SELECT node, t, q, -1 AS l, {' + '.join(columns)} AS x FROM ylab")
+    lg = "lg AS (" + " UNION ALL ".join(cells) + ")"
+    ag = "ag AS (SELECT t, q, l, sum(x) AS s, CAST(count(*) AS DOUBLE) AS n FROM lg GROUP BY 1, 2, 3)"
+    sign = "CASE WHEN l < 0 THEN -1 ELSE 1 END"
+    return _with(_YEARS, _YLAB, lg, ag) + (
+        f"SELECT node, t, q, r, {rnd(f'sum({sign} * ({formula}))', 'gain')} FROM (SELECT lg.node, lg.t, lg.q, g.r, lg.l, lg.x, a.s AS x_q, a.n AS n_q, coalesce(b.s, 0.0) AS x_r, coalesce(b.n, 0.0) AS n_r"
+        f" FROM lg JOIN (SELECT CAST(range AS INT) AS r FROM range({Q})) g ON g.r <> lg.q JOIN ag a ON a.t = lg.t AND a.q = lg.q AND a.l = lg.l LEFT JOIN ag b ON b.t = lg.t AND b.q = g.r AND b.l = lg.l) w GROUP BY 1, 2, 3, 4"
+    )
+
+
 _beta_cell = lambda r, k: f"dn{r} / dd{r}" if r == k else f"(n{r}{k} / (p{r} * p{k}) + n{k}{r} / (p{k} * p{r})) / 2"
 
 ORACLES = {
@@ -197,6 +211,9 @@ ORACLES = {
     "greedy_edge_gain": _with(_NET, _SYM, _PRES, _LAB, "mm AS (SELECT s.t, a.q, b.q AS r, sum(s.w) AS m FROM sym s JOIN lab a ON a.node = s.src AND a.t = s.t JOIN lab b ON b.node = s.dst AND b.t = s.t GROUP BY 1, 2, 3)", "gr AS (SELECT CAST(range AS INT) AS g FROM range(4))", "mf AS (SELECT d.t, a.g AS q, b.g AS r, coalesce(m, 0.0) AS m FROM (SELECT DISTINCT t FROM lab) d, gr a CROSS JOIN gr b LEFT JOIN mm ON mm.t = d.t AND mm.q = a.g AND mm.r = b.g)", "kp AS (SELECT t, q, sum(m) AS kappa FROM mf GROUP BY 1, 2)", "ks AS (SELECT s.src AS node, s.t, l.q AS s, sum(s.w) AS k FROM sym s JOIN lab l ON l.node = s.dst AND l.t = s.t GROUP BY 1, 2, 3)", "kf AS (SELECT l.node, l.t, g.g AS s, coalesce(k, 0.0) AS k FROM lab l CROSS JOIN gr g LEFT JOIN ks ON ks.node = l.node AND ks.t = l.t AND ks.s = g.g)", "mo AS (SELECT l.node, l.t, l.q, g.g AS r FROM lab l, gr g WHERE g.g <> l.q)")
     + f", re AS (SELECT mo.node, mo.t, mo.q, mo.r, sum(2 * (({X.xlogx('(a.m - kf.k)')}) - ({X.xlogx('a.m')}) + ({X.xlogx('(b.m + kf.k)')}) - ({X.xlogx('b.m')}))) FILTER (kf.s <> mo.q AND kf.s <> mo.r) AS rest, sum(kf.k) AS k_i, sum(kf.k) FILTER (kf.s = mo.q) AS k_q, sum(kf.k) FILTER (kf.s = mo.r) AS k_r FROM mo JOIN kf ON kf.node = mo.node AND kf.t = mo.t JOIN mf a ON a.t = mo.t AND a.q = mo.q AND a.r = kf.s JOIN mf b ON b.t = mo.t AND b.q = mo.r AND b.r = kf.s GROUP BY 1, 2, 3, 4)"
     + f" SELECT node, t, q, r, {rnd(edge_gain_formula(), 'gain')} FROM (SELECT re.*, x.m AS m_qr, y.m AS m_qq, z.m AS m_rr, u.kappa AS kappa_q, v.kappa AS kappa_r FROM re JOIN mf x ON x.t = re.t AND x.q = re.q AND x.r = re.r JOIN mf y ON y.t = re.t AND y.q = re.q AND y.r = re.q JOIN mf z ON z.t = re.t AND z.q = re.r AND z.r = re.r JOIN kp u ON u.t = re.t AND u.q = re.q JOIN kp v ON v.t = re.t AND v.q = re.r) w",
+    "greedy_poisson_gain": _gain(["n"], poisson_gain_formula()),
+    "greedy_bernoulli_gain": _gain([f"pair{i}" for i in range(6)], bernoulli_gain_formula()),
+    "greedy_multinomial_gain": _gain(["n_a", "n_n", "n_r"], cell_gain_formula(), total=True),
     "greedy_categorical_gain": _with(_YEARS, f"cl AS (SELECT node, t, {X.label_of('node', 't', Q)} AS q, CAST(node % 5 AS INT) AS l FROM years)", "cc AS (SELECT t, q, l, CAST(count(*) AS DOUBLE) AS x FROM cl GROUP BY 1, 2, 3)", "cn AS (SELECT t, q, CAST(count(*) AS DOUBLE) AS n FROM cl GROUP BY 1, 2)")
     + f"SELECT node, t, q, r, {rnd(categorical_gain_formula(), 'gain')} FROM (SELECT cl.node, cl.t, cl.q, g.r, a.x AS x_q, coalesce(b.x, 0.0) AS x_r, n.n AS n_q, coalesce(m.n, 0.0) AS n_r FROM cl JOIN (SELECT CAST(range AS INT) AS r FROM range(4)) g ON g.r <> cl.q JOIN cc a ON a.t = cl.t AND a.q = cl.q AND a.l = cl.l LEFT JOIN cc b ON b.t = cl.t AND b.q = g.r AND b.l = cl.l JOIN cn n ON n.t = cl.t AND n.q = cl.q LEFT JOIN cn m ON m.t = cl.t AND m.q = g.r) w",
 }

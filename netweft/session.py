@@ -2,6 +2,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,14 @@ def local_session(cores: int | str = 8, app: str = "netweft", shuffle_partitions
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless they find it by the path that they were started with."""
+    root = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p).resolve() == root for p in known) or getattr(spark.sparkContext, "_netweft_sent", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/netweft", "zip", root, "netweft"))
+    spark.sparkContext._netweft_sent = True

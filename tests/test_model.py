@@ -147,6 +147,30 @@ def test_hierarchy_of_transitions():
     assert m[0] == pytest.approx([0.8, 0.1, 0.1]) and m[1] == pytest.approx([0.1, 0.63, 0.27]) and sum(m[2]) == pytest.approx(1)
 
 
+def test_transition_gains_are_differences_of_likelihoods(spark):
+    from netweft.operators import greedy
+
+    rows = [(n, t, (n + t * n) % 3) for n in range(9) for t in range(3)]
+    loglik = lambda z: sum(
+        c * math.log(c / sum(v for (a, _), v in m.items() if a == q)) for m in [{(a, b): sum(z[n, t] == a and z[n, t + 1] == b for n in range(9) for t in range(2)) for a in range(3) for b in range(3)}] for (q, _), c in m.items() if c
+    )
+    z = {(n, t): q for n, t, q in rows}
+    for r in greedy.transition_gain(spark.createDataFrame(rows, "node long, t int, q int"), 3).collect():
+        assert loglik({**z, (r["node"], r["t"]): r["r"]}) - loglik(z) == pytest.approx(r["gain"], abs=1e-9)
+
+
+def test_starts_sum_to_one_and_alignment_reaches_its_target(spark):
+    net = graph.prepare(edges_of(spark, [(0, 0, 1), (0, 1, 2)]))
+    pairs = graph.messages(net.where("src < dst"))
+    z = graph.presence(net).withColumn("q", F.lit(0))
+    for mode in ("planted", "uniform", "random"):
+        for df, name in zip(bp.initial_state(pairs, z, 3, mode), ("psi", "p")):
+            assert all(sum(r[f"{name}{k}"] for k in range(3)) == pytest.approx(1) for r in df.collect())
+    labels = simulate.label_chain(spark, 300, 1, simulate.transition_matrix(3, 0.8)).cache()
+    ari = partition.ari_by_time(partition.contingency(labels, simulate.aligned_labels(labels, 3, 0.5))).first()["ari"]
+    assert 0.3 < ari < 0.5 and simulate.expected_degree(100, 4, 0.1, 0.02)[0] == pytest.approx(4.0)
+
+
 def test_streamed_snapshots(spark, tmp_path):
     rows = [(f"2024-01-{d:02d} 00:00:00", 1, 2) for d in (1, 1, 8, 20)] + [("2024-01-01 00:00:00", 3, 3)]
     spark.createDataFrame(rows, "ts string, src long, dst long").select(F.col("ts").cast("timestamp"), "src", "dst").write.parquet(str(tmp_path / "in"))
