@@ -1,6 +1,7 @@
 """Session helper for scripts and tests; a cluster brings its own session."""
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -34,6 +35,7 @@ def ship(spark: SparkSession) -> None:
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if any(p and Path(p).resolve() == root for p in known) or getattr(spark.sparkContext, "_netweft_sent", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/netweft", "zip", root, "netweft"))
+    folder = tempfile.mkdtemp(prefix="netweft-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may ask the driver for it until then
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/netweft", "zip", root, "netweft"))
     spark.sparkContext._netweft_sent = True
