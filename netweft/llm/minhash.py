@@ -10,15 +10,15 @@ similarity s is still found unless every chunk differs in more; with the
 defaults and s = 0.8 that is 1 pair in a million. What shares a key is compared
 on full sets, so that links are exact.
 
-Large groups. Equal sets are one representative from the start. Within the rows
-of a key everything is compared with the smallest id only; then components are
-taken, and only what shares a key but not a component is compared pair by pair.
-A group of near copies thus costs its size, not its square. Keys that one row
-has, which most are, go no further than the count.
+Large groups. Equal sets are one representative from the start. What shares a
+key with the key's smallest id is in one family; families are components, found
+without making pairs. In a family all sets are compared exactly, by counting
+common shingles in a task that holds the family, or two blocks of it if it is
+large; only the links that it takes to connect what is linked leave the task.
+Keys that one row has, which most are, go no further than the count.
 
-No text or set leaves its rows before a pair asks for it: the first pass makes
-a signature for each document; only texts in pairs that are left after the
-signatures' distance and the set sizes have been compared are read again.
+The first pass makes a signature for each document. Only texts of documents
+that are in a family with others are read again.
 
 Null or empty texts and texts without words have the empty set and are linked
 with nothing. Equal ids are one node, whatever their texts; every row has its
@@ -43,6 +43,10 @@ from netweft.operators.components import connected_components
 from netweft.plans.scratch import remove, stored
 
 
+#: Of one block of a family: representatives, and members of their sets.
+BLOCK_ROWS, BLOCK_SHINGLES = 1_000, 1 << 20
+
+
 class Signatures(NamedTuple):
     chunks: int = 13
     size: int = 6
@@ -59,11 +63,6 @@ class Signatures(NamedTuple):
         """Any two signatures that differ in so many positions at most share a key."""
         return self.chunks * (self.errors + 1) - 1
 
-    def hopeless(self, percent: int) -> int:
-        """A pair that differs in more positions has the similarity with a chance under 1e-12."""
-        p = 1 - percent / 100
-        return int(np.ceil(self.positions * p + 8 * np.sqrt(self.positions * p * (1 - p))))
-
 
 def signatures(sets: list[np.ndarray], form: Signatures) -> np.ndarray:
     """A row of ``positions`` small integers for each non-empty set."""
@@ -130,49 +129,94 @@ def _keyed(batches: Iterator[pa.RecordBatch], form: Signatures) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids, pa.int64())], ["chunk_key", "rep"])
 
 
-def _near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for x in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(axis=1) <= most))
+def alike(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Every pair i < j of sets that is similar enough, by counting for each set how often the others have its members."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(whole := np.concatenate(sets), kind="stable")
+    whole, of = whole[order], of[order]
+    first = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])))
+    widths = np.diff(np.concatenate((first, [len(whole)])))
+    # Of each set's members, where the list of those who have it begins and ends; members that no other set has are left out.
+    group = np.repeat(np.arange(len(first)), widths)
+    shared = widths[group] > 1
+    back = np.argsort(of[shared], kind="stable")
+    mine, owner = group[shared][back], of[shared][back]
+    cuts = np.searchsorted(owner, np.arange(len(sets) + 1))
+    for i in range(len(sets)):
+        g = mine[cuts[i] : cuts[i + 1]]
+        if len(g):
+            w = widths[g]
+            at = np.repeat(first[g] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            both = np.bincount(of[at], minlength=len(sets))[i + 1 :]
+            for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)).tolist():
+                yield i, i + 1 + j
+
+
+def _spanning(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (family, i, j, key): for each group, links that connect all that its links connect."""
+    held: list[tuple[int, np.ndarray]] = []
+    group = None
+
+    def linked() -> list[tuple[int, int]]:
+        top = list(range(len(held)))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        out = []
+        for i, j in alike([x for _, x in held], percent) if len(held) > 1 else ():
+            a, b = find(i), find(j)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                out.append((held[i][0], held[j][0]))
+        return out
+
+    def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= percent * (len(s) + len(t) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        links = []
+        for family, i, j, key, data in zip(*(batch.column(x).to_pylist() for x in ("family", "i", "j", "key", "shingles"))):
+            if (family, i, j) != group:
+                links += linked()
+                held, group = [], (family, i, j)
+            held.append((key, np.frombuffer(data, np.uint64)))
+        yield made(links)
+    yield made(linked())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
-        yield pa.RecordBatch.from_arrays(
-            [part.column("key"), pa.array([shingle_set(x, words).tobytes() for x in part.column("text").to_pylist()], pa.binary())], ["key", "shingles"]
-        )
+        sets = pa.array([shingle_set(x, words).tobytes() for x in part.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("family", "key", "block", "blocks")), sets], ["family", "key", "block", "blocks", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, percent: int, form: Signatures) -> tuple[DataFrame, list[str]]:
-    """Those of the pairs (a, b) of representatives whose full sets are similar enough, and the folders in use."""
-    end = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}"))
-    near, near_uri = stored(
-        pairs.join(end("a"), "a")
-        .join(end("b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(lambda x: _near(x, form.hopeless(percent)), "a long, b long"),
-        "near",
+def _links(families: DataFrame, known: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) on full sets within families (node, component), enough to connect whatever is linked.
+
+    A family of more than BLOCK_ROWS representatives, or of sets that are larger together than BLOCK_SHINGLES, is cut into
+    blocks by hash, and every two blocks meet in a task of their own.
+    """
+    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    members = members.unionByName(members.select(F.col("family").alias("rep"), "family").distinct()).join(known.select("rep", "n"), "rep")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("family").agg(needed.alias("blocks"))
+    asked = members.join(sizes, "family").select(F.col("rep").alias("key"), "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    sets = rows.join(asked, "key").select("family", "key", "block", "blocks", "text").mapInArrow(
+        lambda x: _sets(x, words), "family long, key long, block int, blocks int, shingles binary"
     )
-    asked = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    sets, sets_uri = stored(rows.join(asked, "key", "left_semi").mapInArrow(lambda x: _sets(x, words), "key long, shingles binary").distinct(), "sets")
-    of = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}"))
-    links, links_uri = stored(
-        near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _linked(x, percent), "a long, b long"), "links"
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return (
+        sets.select("family", "key", "block", "shingles", met)
+        .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "shingles")
+        .repartition("family", "i", "j")
+        .sortWithinPartitions("family", "i", "j", "key")
+        .mapInArrow(lambda x: _spanning(x, percent), "a long, b long")
+        .where("a <> b")
     )
-    remove(rows.sparkSession, near_uri, sets_uri)
-    return links, [links_uri]
 
 
 def near_duplicates(
@@ -194,32 +238,10 @@ def near_duplicates(
     keys = known.select("rep", "signature").mapInArrow(lambda x: _keyed(x, form), "chunk_key long, rep long")
     pivots = keys.groupBy("chunk_key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").drop("last")
     shared, shared_uri = stored(keys.join(pivots, "chunk_key"), "shared")
-    links, links_uris = _confirmed(
-        shared.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), known, rows, words, percent, form
-    )
-    first, first_uri = connected_components(links)
-    held, held_uri = stored(
-        shared.where("rep <> pivot")
-        .join(first.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("chunk_key", "rep", F.coalesce("component", "rep").alias("component")),
-        "held",
-    )
-    mixed_keys = held.groupBy("chunk_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("chunk_key")
-    rest = held.join(mixed_keys, "chunk_key").join(known.select("rep", "n"), "rep")
-    across = (
-        rest.alias("x")
-        .join(rest.alias("y"), "chunk_key")
-        .where(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
-    more, more_uris = _confirmed(across, known, rows, words, percent, form)
-    if more.isEmpty():
-        found = first
-    else:
-        found, _ = connected_components(links.unionByName(more))
-        remove(spark, first_uri)
-    remove(spark, shared_uri, held_uri, *links_uris, *more_uris)
+    families, families_uri = connected_components(shared.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    links, links_uri = stored(_links(families, known, rows, words, percent), "links")
+    found, _ = connected_components(links)
+    remove(spark, shared_uri, families_uri, links_uri)
     classes, _ = stored(
         known.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component")), "classes"
     )
