@@ -17,13 +17,13 @@ work is to find windows that occur twice.
    symbol, and the new suffixes are put in their places among the sorted ones,
    given by their first symbol and the place of what follows it. The collection's
    transform, order and common prefixes are kept in files that each round reads
-   and writes from front to end. A symbol is a block of ``length / 10`` bytes,
+   and writes from front to end. A symbol is a block of ``length / 4`` bytes,
    and each stretch is a string for each way of cutting it into blocks, so that
-   every byte starts a suffix. Neighbours with ten symbols in common are repeats.
+   every byte starts a suffix. Neighbours with four symbols in common are repeats.
 
 The rounds of one symbol for each document of the corpus would be as many as
 the longest document has bytes, each over all of what is sorted; here they are
-as many as a stretch has blocks, 19 at most, and over the stretches of some
+as many as a stretch has blocks, 7 at most, and over the stretches of some
 anchors only, in tasks that need nothing of each other. An anchor with more
 than ``most`` different stretches isn't sorted in one task: its windows are
 counted by their hashes instead, which Spark deals out by window.
@@ -52,7 +52,7 @@ from netweft.plans.scratch import remove, stored
 LENGTH = 400
 #: Different stretches of one anchor that a task sorts; suffixes that it sorts at a time.
 MOST, SORTED = 1_000, 600_000
-_GRAM, _SYMBOLS, _SEGMENT = 32, 10, 1 << 23
+_GRAM, _SYMBOLS, _SEGMENT = 32, 4, 1 << 23
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -88,18 +88,28 @@ def stretches(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
 
 
 class _Files:
-    """Named arrays in files of a task's own, gone with it; each is written and read from front to end."""
+    """Named arrays in files of a task's own, gone with it; each is written and read from front to end.
+
+    A file that is written over is flushed to the disk by some file systems; a new one that is soon removed is not.
+    """
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.number = folder, 0
+
+    def _path(self, name: str) -> str:
+        return os.path.join(self.folder, f"{name}.{self.number}")
 
     def put(self, **arrays: np.ndarray) -> None:
+        old = [self._path(x) for x in arrays] if self.number else []
+        self.number += 1
         for name, x in arrays.items():
-            with open(os.path.join(self.folder, name), "wb") as f:
+            with open(self._path(name), "wb") as f:
                 x.tofile(f)
+        for x in old:
+            os.remove(x)
 
     def get(self, name: str, kind: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), kind)
+        return np.fromfile(self._path(name), kind)
 
 
 def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -126,28 +136,29 @@ def sorted_suffixes(symbols: np.ndarray, lengths: np.ndarray, folder: str) -> tu
     """
     m, files = len(lengths), _Files(folder)
     ends = np.cumsum(lengths)
-    zeros = np.zeros(m, np.int64)
-    files.put(first=zeros - 1, rest=zeros, string=np.arange(m), size=zeros, common=np.zeros(m, np.uint8))
+    kinds = {"first": "<i4", "rest": "<i4", "string": "<i4", "size": "<i2"}
+    put = {"first": np.full(m, -1), "rest": np.zeros(m), "string": np.arange(m), "size": np.zeros(m)}
+    files.put(**{x: v.astype(kinds[x]) for x, v in put.items()}, common=np.zeros(m, np.uint8))
     place = np.arange(m)  # of each string's longest suffix so far
     for j in range(1, int(lengths.max(initial=0)) + 1):
-        first, rest, string, size = (files.get(x, "<i8") for x in ("first", "rest", "string", "size"))
+        first, rest, string, size = (files.get(x, kind) for x, kind in kinds.items())
         common = files.get("common", "u1")
         new = np.flatnonzero(lengths >= j)
         c = symbols[ends[new] - j]
         order = np.lexsort((place[new], c))
         new, c = new[order], c[order]
         wide = np.int64(len(first) + 1)
-        at = np.searchsorted(first[m:] * wide + rest[m:], c * wide + place[new]) + m
+        at = np.searchsorted(first[m:] * wide + rest[m:], c * wide + place[new]) + m  # wide makes 64 bits of them
         # Every old place moves by the number of suffixes put before it.
         moved = np.arange(len(first)) + np.searchsorted(at, np.arange(len(first)), "right")
         total = len(first) + len(new)
         where = at + np.arange(len(new))
-        put = {x: np.empty(total, np.int64) for x in ("first", "rest", "string", "size")}
+        put = {x: np.empty(total, kind) for x, kind in kinds.items()}
         old_rest = np.empty(total, np.int64)
         for name, old, add in (("first", first, c), ("string", string, new), ("size", size, np.full(len(new), j))):
             put[name][moved], put[name][where] = old, add
         old_rest[moved], old_rest[where] = rest, place[new]
-        put["rest"] = moved[old_rest]
+        put["rest"] = moved[old_rest].astype(kinds["rest"])
         joint = np.zeros(total, np.uint8)
         joint[moved] = common
         # Common prefixes change only where a new suffix is on either side.
@@ -159,7 +170,7 @@ def sorted_suffixes(symbols: np.ndarray, lengths: np.ndarray, folder: str) -> tu
         joint[pair] = np.minimum(_least(common, old_rest[pair - 1] + 1, old_rest[pair] + 1), _SYMBOLS - 1) + 1
         place[new] = where
         files.put(**put, common=joint)
-    return files.get("string", "<i8"), files.get("size", "<i8"), files.get("common", "u1")
+    return files.get("string", kinds["string"]).astype(np.int64), files.get("size", kinds["size"]).astype(np.int64), files.get("common", "u1")
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -343,10 +354,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> t
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(key, spans array<struct<start, end>>, kept binary): the removed runs of bytes and what is left, for each row of ``docs``.
 
-    length: a multiple of ten, and at least 40.
+    length: a multiple of four, and at least 40.
     """
     if length % _SYMBOLS or length < _GRAM + 8:
-        raise ValueError("length must be a multiple of 10 and at least 40")
+        raise ValueError("length must be a multiple of 4 and at least 40")
     rows = keyed_texts(docs, key, text).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     spans, uris = repeated_spans(rows, length, most)
     found, _ = stored(spans.groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")

@@ -302,8 +302,8 @@ def test_repeats_are_those_of_all_windows(spark, most):
     texts = ["".join(rng.choice(base)[rng.randint(0, 30) : rng.randint(40, 120)] for _ in range(rng.randint(0, 6))) for _ in range(40)]
     texts += [None, "", "xyz " * 60, "xyz " * 50, base[0], base[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: ([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in repeats.without_repeats(df, length=50, most=most).collect()}
-    assert got == dict(enumerate(plain_spans([(t or "").encode() for t in texts], 50)))
+    got = {r["doc_id"]: ([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in repeats.without_repeats(df, length=48, most=most).collect()}
+    assert got == dict(enumerate(plain_spans([(t or "").encode() for t in texts], 48)))
 
 
 def test_repeats_sorted_suffixes_are_in_order():
@@ -320,7 +320,7 @@ def test_repeats_sorted_suffixes_are_in_order():
         n = 0
         while n < min(len(suffixes[k]), len(suffixes[k - 1])) and suffixes[k][n] == suffixes[k - 1][n]:
             n += 1
-        assert common[k] == min(n, 10)
+        assert common[k] == min(n, repeats._SYMBOLS)
 
 
 def test_repeats_on_odd_rows(odd, nothing):
