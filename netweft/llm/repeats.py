@@ -24,9 +24,11 @@ work is to find windows that occur twice.
 The rounds of one symbol for each document of the corpus would be as many as
 the longest document has bytes, each over all of what is sorted; here they are
 as many as a stretch has blocks, 7 at most, and over the stretches of some
-anchors only, in tasks that need nothing of each other. An anchor with more
-than ``most`` different stretches isn't sorted in one task: its windows are
-counted by their hashes instead, which Spark deals out by window.
+anchors only, in tasks that need nothing of each other. An anchor with many
+stretches is sorted in turns of bounded size, since ways of cutting that are
+differently far from the anchor don't mix. One with more than ``most`` different
+stretches isn't sorted in one task: its windows are counted by their hashes
+instead, which Spark deals out by window.
 
 Documents are known by a digest of their bytes, so null and repeated ids are no
 matter: equal texts have equal results. A null text is empty and keeps nothing;
@@ -51,7 +53,7 @@ from netweft.plans.scratch import remove, stored
 
 LENGTH = 400
 #: Different stretches of one anchor that a task sorts; suffixes that it sorts at a time.
-MOST, SORTED = 1_000, 600_000
+MOST, SORTED = 50_000, 600_000
 _GRAM, _SYMBOLS, _SEGMENT = 32, 4, 1 << 23
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -173,18 +175,33 @@ def sorted_suffixes(symbols: np.ndarray, lengths: np.ndarray, folder: str) -> tu
     return files.get("string", kinds["string"]).astype(np.int64), files.get("size", kinds["size"]).astype(np.int64), files.get("common", "u1")
 
 
-def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, the starts of windows that occur in any of the texts, or in this one, at another place too."""
+def repeated_starts(texts: list[bytes], length: int = LENGTH, anchors: list[int] | None = None, most: int = SORTED) -> list[np.ndarray]:
+    """For each text, the starts of windows that occur in any of the texts, or in this one, at another place too.
+
+    anchors: a place in each text, if equal windows are equally far from it. The ways of cutting then don't mix, and are
+    sorted in as many turns as keep the suffixes of one under ``most``.
+    """
     block = length // _SYMBOLS
+    turns = 1 if anchors is None else min(block, -(-sum(map(len, texts)) // most) or 1)
+    if turns > 1:
+        cut = [range(k, block, turns) for k in range(turns)]
+        found = [_repeated(texts, length, [[(a + c) % block for c in some] for a in anchors]) for some in cut]
+        return [np.sort(np.concatenate(x)) for x in zip(*found)]
+    return _repeated(texts, length, [range(block)] * len(texts))
+
+
+def _repeated(texts: list[bytes], length: int, phases: list) -> list[np.ndarray]:
+    """Those starts that the given ways of cutting reach: for each text, where its first whole block begins."""
+    block, per = length // _SYMBOLS, len(phases[0]) if phases else 1
     symbols, lengths = [], []
-    for t in texts:
+    for t, own in zip(texts, phases):
         data = np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)
         n = len(data) - block + 1
         h = np.zeros(max(0, n), np.uint64)
         for k in range(block):
             h = h * np.uint64(_MULTIPLIER) + data[k : k + len(h)]
         h = mixed(h)
-        for p in range(block):
+        for p in own:
             symbols.append(h[p::block])
             lengths.append(len(symbols[-1]))
     counts = np.array(lengths, np.int64)
@@ -194,8 +211,8 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     alike = common >= _SYMBOLS
     alike[:-1] |= alike[1:]
     string, size = string[alike], size[alike]
-    starts = (counts[string] - size) * block + string % block
-    of = string // block
+    starts = (counts[string] - size) * block + np.array([p for own in phases for p in own], np.int64)[string]
+    of = string // per
     order = np.lexsort((starts, of))
     of, starts = of[order], starts[order]
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
@@ -232,6 +249,11 @@ _CUT = pa.schema([("anchor", pa.int64()), ("stretch", pa.binary()), ("once", pa.
 _SPANS = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+def _place(data: bytes, anchor: int) -> int:
+    """Where a stretch's anchor is: the first place of its hash."""
+    return int(np.flatnonzero(_gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor)[0])
+
+
 def _runs(starts: np.ndarray, base: int, length: int) -> Iterator[tuple[int, int]]:
     """Bytes covered by windows at these starts."""
     if len(starts):
@@ -243,11 +265,13 @@ def _runs(starts: np.ndarray, base: int, length: int) -> Iterator[tuple[int, int
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of (anchor, stretch): sorts the suffixes of whole anchors, several at a time."""
     held: list[dict] = []
-    size, group = 0, 0  # of what is held; where the last anchor's rows begin
+    size = own = 0  # of what is held, and of the last anchor's part of it
 
     def solved(rows: list[dict]) -> pa.RecordBatch:
         out = []
-        for row, starts in zip(rows, repeated_starts([x["data"] for x in rows], length)):
+        # Of one anchor alone, equal windows are equally far from it.
+        places = [_place(x["data"], x["anchor"]) for x in rows] if rows[0]["anchor"] == rows[-1]["anchor"] else None
+        for row, starts in zip(rows, repeated_starts([x["data"] for x in rows], length, places)):
             if row["once"]:
                 out += [{"digest": row["digest"], "start": a, "end": b} for a, b in _runs(starts, row["start"], length)]
         return pa.RecordBatch.from_pylist(out, _SPANS)
@@ -257,12 +281,16 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             if held and row["anchor"] == held[-1]["anchor"] and row["stretch"] == held[-1]["stretch"]:
                 continue
             if held and row["anchor"] != held[-1]["anchor"]:
-                group = len(held)
                 if size > SORTED:
                     yield solved(held)
-                    held, size, group = [], 0, 0
+                    held, size = [], 0
+                own = 0
             held.append(row)
-            size += len(row["data"])
+            size, own = size + len(row["data"]), own + len(row["data"])
+            if own > SORTED and held[0]["anchor"] != row["anchor"]:  # a large anchor stays by itself
+                last = next(k for k in range(len(held) - 1, -1, -1) if held[k]["anchor"] != row["anchor"]) + 1
+                yield solved(held[:last])
+                held, size = held[last:], own
     if held:
         yield solved(held)
 

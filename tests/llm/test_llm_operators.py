@@ -306,6 +306,40 @@ def test_repeats_are_those_of_all_windows(spark, most):
     assert got == dict(enumerate(plain_spans([(t or "").encode() for t in texts], 48)))
 
 
+def test_repeats_of_one_anchor_are_the_same_in_turns():
+    rng, core = random.Random(13), b"0123456789XY"
+    draw = lambda: bytes(rng.choice(b"ab") for _ in range(3)) * rng.randint(0, 12)
+    parts = [(draw()[:36], draw()[:36]) for _ in range(60)]
+    texts = [a + core + b for a, b in parts if len(a) + len(b) >= 36]
+    seen = Counter(t[k : k + 48] for t in texts for k in range(len(t) - 47))
+    want = [[k for k in range(len(t) - 47) if seen[t[k : k + 48]] > 1] for t in texts]
+    assert any(want)
+    for most in (10, 500, 1 << 20):
+        assert [x.tolist() for x in repeats.repeated_starts(texts, 48, [t.index(core) for t in texts], most)] == want
+    assert [x.tolist() for x in repeats.repeated_starts(texts, 48)] == want
+
+
+@pytest.mark.parametrize("size", [1, 3000, 1 << 20])
+def test_repeats_large_anchors_stay_by_themselves(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "SORTED", size)
+    rng = random.Random(14)
+    common = "".join(rng.choice("abcdefgh") for _ in range(700))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) + common[: rng.randint(300, 700)] + str(k) for k in range(12)]
+    rows = {}
+    for k, t in enumerate(texts):
+        for anchor, start, n in repeats.stretches(t.encode(), 48):
+            data = t.encode()[start : start + n + 47]
+            rows.setdefault((anchor, data), []).append({"anchor": anchor, "stretch": data, "once": True, "hot": False, "digest": bytes([k]), "start": start, "data": data})
+    flat = [x | {"once": len(v) == 1} for _, v in sorted(rows.items()) for x in v[:1]]
+    cover = lambda spans, k: {i for d, a, b in spans if d == k for i in range(a, b)}
+    got = [(r["digest"][0], r["start"], r["end"]) for b in repeats._sorted_groups(iter([pa.RecordBatch.from_pylist(flat, repeats._CUT)]), 48) for r in b.to_pylist()]
+    got += [(x["digest"][0], x["start"], x["start"] + len(x["data"])) for v in rows.values() if len(v) > 1 for x in v]
+    for k, (runs, _) in enumerate(plain_spans([t.encode() for t in texts], 48)):
+        assert cover(got, k) == {i for a, b in runs for i in range(a, b)}
+
+
 def test_repeats_sorted_suffixes_are_in_order():
     rng = np.random.default_rng(8)
     strings = [rng.integers(0, 3, rng.integers(0, 30)).tolist() for _ in range(12)]
