@@ -362,10 +362,16 @@ def map_labels(s, d):
 
 @query
 def components_weak(s, d):
-    """Of the first snapshot."""
+    """Of the first snapshot, as its SQL is; ``components_weak_all`` has every one."""
     return graph.weak_components(T.edges(s, d).where("t = 0"))
 
 
+@query
+def components_weak_all(s, d):
+    """Of every snapshot. No SQL: the recursive one lists a row for each node and smaller node that reaches it."""
+    return graph.weak_components(T.edges(s, d))
+
+
 @query
 def profile_outer_join(s, d):
     years = N.part_years(s, d)

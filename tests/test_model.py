@@ -97,6 +97,33 @@ def test_connectivity(spark):
     assert rows == {0: False, 1: True}
 
 
+def smallest_reachable(edges):
+    """{(t, node): component} by merging."""
+    root = {(t, n): n for t, a, b in edges for n in (a, b)}
+    changed = True
+    while changed:
+        changed = False
+        for t, a, b in edges:
+            low = min(root[t, a], root[t, b])
+            if (root[t, a], root[t, b]) != (low, low):
+                root[t, a] = root[t, b] = low
+                changed = True
+    return root
+
+
+def test_components_of_every_snapshot(spark, data):
+    from netweft.plans import catalog, fixtures
+
+    rows = [(0, 5, 3), (0, 3, 9), (0, 1, 2), (1, 9, 2), (1, 2, 1), (2, 7, 8), (2, 5, 6), (2, 6, 7), *((3, k, k + 1) for k in range(20))]
+    for df, edges in (
+        (graph.weak_components(edges_of(spark, rows)), rows),
+        (catalog.QUERIES["components_weak_all"](spark, data), [(r["t"], r["src"], r["dst"]) for r in fixtures.edges(spark, data).collect()]),
+    ):
+        got = [((r["t"], r["node"]), r["component"]) for r in df.collect()]
+        want = smallest_reachable(edges)
+        assert len(got) == len(want) and dict(got) == want and len({t for t, _ in want}) > 3
+
+
 def test_log_gamma_is_that_of_the_library(spark):
     row = spark.range(1).select(*(F.expr(X.lgamma1p(f"CAST({k} AS DOUBLE)")).alias(f"k{k}") for k in (0, 1, 2, 10, 500))).first()
     for k in (0, 1, 2, 10, 500):
