@@ -103,7 +103,8 @@ class TemporalBlockModel:
         for it in range(1 if frozen else rounds):
             table = bp.blocks(spark, beta)
             meta = self._meta(self._shares(nodes))
-            short = max(1, sweeps // 3) if it < 5 else sweeps
+            # The first steps, whose parameters are far off, take fewer sweeps.
+            short = min(sweeps, sweeps // 3 + 1) if it < 5 and rounds > 1 else sweeps
             for k in range(sweeps if frozen else short):
                 fields = bp.field_terms(msgs, table, q, self.directed)
                 swept, swept_uri = stored(bp.sweep_nodes(fields, nodes, table, alpha, pi, q, meta, s.tuning), "nodes")
@@ -180,7 +181,7 @@ def hierarchy(edges: DataFrame, q: int, levels: int, settings: Settings = Settin
     A level keeps labels of groups that it doesn't split, and numbers new groups from there on.
     """
     model = TemporalBlockModel(edges, q, settings=settings)
-    now, _ = stored(model.fit(hashed_labels(model.present, q), **options).labels, "labels")
+    now, _ = stored(model.fit_best(list(model.starts()), **options).labels, "labels")
     out = now.withColumn("level", F.lit(0))
     for level in range(1, levels):
         major = partition.majority_label(now)
@@ -197,7 +198,7 @@ def hierarchy(edges: DataFrame, q: int, levels: int, settings: Settings = Settin
                 parts.append(nodes)
                 continue
             inner = TemporalBlockModel(sub, q, settings=settings)
-            found = inner.fit(hashed_labels(inner.present, q, seed=level), **options).labels
+            found = inner.fit_best(list(inner.starts()), **options).labels
             relabelled = found.select("node", "t", (F.col("q") + shift + k * q).cast("int").alias("new"))
             # Nodes without an edge inside the group keep its label.
             parts.append(nodes.join(relabelled, ["node", "t"], "left").select("node", "t", F.coalesce("new", "q").alias("q")))

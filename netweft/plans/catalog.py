@@ -407,30 +407,25 @@ for _name in ("poisson", "bernoulli", "multinomial"):
     QUERIES[f"greedy_{_name}_gain"] = _metadata_gain(_DISTS[_name])
 
 
-# What follows has no oracle: inference, simulation and learning.
-_QUICK = {"max_iter": 2, "max_msg_iter": 3}
-
-
-def _model(s, d) -> em.TemporalBlockModel:
-    return em.TemporalBlockModel(T.edges(s, d), 3, settings=Settings(fe_freq=2))
+# What follows has no oracle: inference, simulation and learning. Fits have the budget of Settings, from all starts.
+def _fit(s, d) -> em.Fit:
+    model = em.TemporalBlockModel(T.edges(s, d), 3)
+    return model.fit_best(list(model.starts()))
 
 
 @query
 def em_fit_labels(s, d):
-    m = _model(s, d)
-    return m.fit(em.hashed_labels(m.present, 3), **_QUICK).labels
+    return _fit(s, d).labels
 
 
 @query
 def em_fit_block_probs(s, d):
-    m = _model(s, d)
-    fit = m.fit(em.hashed_labels(m.present, 3), **_QUICK)
-    return s.createDataFrame([(t, q, r, v) for t, b in fit.beta.items() for q, row in enumerate(b) for r, v in enumerate(row)], "t int, q int, r int, beta double")
+    return s.createDataFrame([(t, q, r, v) for t, b in _fit(s, d).beta.items() for q, row in enumerate(b) for r, v in enumerate(row)], "t int, q int, r int, beta double")
 
 
 @query
 def em_hierarchy(s, d):
-    return em.hierarchy(T.edges(s, d), 2, 2, Settings(fe_freq=2), max_iter=1, max_msg_iter=2)
+    return em.hierarchy(T.edges(s, d), 2, 2)
 
 
 @query

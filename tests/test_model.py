@@ -84,6 +84,33 @@ def test_metadata_helps_a_fit_run(spark):
     assert min(r["ari"] for r in partition.ari_by_time(partition.contingency(truth, fit.labels)).collect()) > 0.8
 
 
+def test_registered_fits_have_the_whole_budget(spark, data, monkeypatch):
+    from netweft.plans import catalog
+
+    seen = []
+
+    def fit(self, labels, **options):
+        seen.append((self.settings, options))
+        return em.Fit(labels, labels, [], [], {0: [[0.5]]}, float(len(seen)), True)
+
+    monkeypatch.setattr(em.TemporalBlockModel, "fit", fit)
+    for name, fits in (("em_fit_labels", 5), ("em_fit_block_probs", 5), ("em_hierarchy", 10)):
+        seen.clear()
+        assert catalog.QUERIES[name](spark, data).count() > 0
+        assert len(seen) >= fits and all(x == (Settings(), {}) for x in seen)
+
+
+def test_early_steps_take_a_third_of_the_sweeps_and_one(spark, monkeypatch):
+    model = em.TemporalBlockModel(edges_of(spark, [(0, 0, 1), (0, 1, 2), (0, 2, 3)]), 2, settings=Settings(msg_conv_tol=0.0))
+    start = model.present.withColumn("q", F.expr("cast(node % 2 as int)"))
+    count, sweep = [], bp.sweep_nodes
+    monkeypatch.setattr(bp, "sweep_nodes", lambda *a, **b: count.append(1) or sweep(*a, **b))
+    for rounds, want in ((2, 4), (1, 3)):
+        count.clear()
+        model.fit(start, max_iter=rounds, max_msg_iter=3)
+        assert len(count) == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), *((k, k + 1) for k in range(100, 140))]
     found, _ = connected_components(spark.createDataFrame(links, "a long, b long"))
