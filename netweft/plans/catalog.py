@@ -374,11 +374,19 @@ def components_weak_all(s, d):
 
 @query
 def profile_outer_join(s, d):
+    """Of parts of the catalog by a rule on their ids, as its SQL is; ``profile_outer_join_sources`` is of two whole sources."""
     years = N.part_years(s, d)
     age = years.where("node % 3 <> 0").select("node", "t", F.col("n").alias("career_age"))
     return N.export_profiles(age, years.where("node % 2 = 0").select("node", "t", F.col("n_r").alias("region")))
 
 
+@query
+def profile_outer_join_sources(s, d):
+    """Sales by the year of shipping, and the customers' regions by the year of the order: each has rows that the other hasn't."""
+    age = N.part_years(s, d).select("node", "t", F.col("n").alias("career_age"))
+    return N.export_profiles(age, N.order_regions(s, d).select("node", "t", F.col("n_regions").alias("region")))
+
+
 @query
 def topics_export(s, d):
     return N.export_topics(T.part_fields(s, d)["indep bernoulli"])

@@ -99,6 +99,16 @@ def part_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, t, n_regions): of how many regions the customers are that ordered a part in a year."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.year("o_orderdate") - 1995).cast("int").alias("t"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("node"))
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("node", "t").agg(F.count_distinct("n_regionkey").alias("n_regions"))
+
+
 def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Labels, probabilities, transitions, blocks or scores as parquet."""
     writer = df.write.mode("overwrite")
