@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--groups", type=int, default=4)
     p.add_argument("--weight", help="the column that edges are weighed by; else each counts 1")
     p.add_argument("--directed", action="store_true")
+    p.add_argument("--deg-corr", action="store_true", help="correct for degrees; edges count by their weight")
     p.add_argument("--max-iter", type=int, default=Settings.max_iter)
     p.add_argument("--max-msg-iter", type=int, default=Settings.max_msg_iter)
     p.add_argument("--runs", type=int, default=1)
@@ -37,9 +38,9 @@ def main(args: list[str] | None = None) -> None:
     if a.last:
         edges = network.last_snapshots(edges, a.last)
     if a.levels > 1:
-        network.save(em.hierarchy(edges, a.groups, a.levels, settings), f"{a.out}/labels", "level")
+        network.save(em.hierarchy(edges, a.groups, a.levels, settings, a.directed, a.deg_corr), f"{a.out}/labels", "level")
         return
-    model = em.TemporalBlockModel(edges, a.groups, settings=settings, directed=a.directed)
+    model = em.TemporalBlockModel(edges, a.groups, settings=settings, directed=a.directed, deg_corr=a.deg_corr)
     fit = model.fit_best(list(model.starts(a.runs)))
     network.save(fit.labels, f"{a.out}/labels")
     network.save(fit.marginals, f"{a.out}/marginals")

@@ -61,13 +61,14 @@ class TemporalBlockModel:
     edges(t, src, dst, w) as they come; fields: (meta, distribution) of each metadata field, meta(node, t, x).
     """
 
-    def __init__(self, edges: DataFrame, q: int, fields: Sequence[tuple[DataFrame, str]] = (), settings: Settings = Settings(), directed: bool = False):
-        self.q, self.fields, self.settings, self.directed = q, list(fields), settings, directed
-        self.edges, self.edges_uri = stored(graph.prepare(edges, directed), "edges")
+    def __init__(self, edges: DataFrame, q: int, fields: Sequence[tuple[DataFrame, str]] = (), settings: Settings = Settings(), directed: bool = False, deg_corr: bool = False):
+        self.q, self.fields, self.settings, self.directed, self.deg_corr = q, list(fields), settings, directed, deg_corr
+        self.edges, self.edges_uri = stored(graph.prepare(edges, directed, deg_corr), "edges")
         self.present, self.present_uri = stored(graph.presence(self.edges), "presence")
-        # The undirected preparation has each edge both ways already.
-        one_way = self.edges if directed else self.edges.where("src < dst")
-        self.pairs, self.pairs_uri = stored(graph.messages(one_way).select("t", "recv", "send", *(["w_fwd", "w_rev"] if directed else [F.lit(1.0).alias("w_fwd"), F.lit(1.0).alias("w_rev")])), "pairs")
+        # The undirected preparation has each edge both ways already, and its weight counts for both.
+        both = self.edges.select("t", F.col("dst").alias("recv"), F.col("src").alias("send"), *(F.col("w").cast("double").alias(c) for c in ("w_fwd", "w_rev")))
+        self.pairs, self.pairs_uri = stored(graph.messages(self.edges) if directed else both, "pairs")
+        self.degrees, self.degrees_uri = stored(graph.degrees(self.edges), "degrees") if deg_corr else (None, None)
 
     def initial(self, labels: DataFrame, weight: float | None = None) -> tuple[DataFrame, DataFrame]:
         weight = self.settings.planted_p if weight is None else weight
@@ -95,7 +96,10 @@ class TemporalBlockModel:
         spark = self.edges.sparkSession
         alpha = [1 / q] * q
         pi = [[1 / q] * q for _ in range(q)] if not frozen else [[0.7 if i == j else 0.3 / max(1, q - 1) for j in range(q)] for i in range(q)]
-        if beta is None:
+        if beta is None and self.deg_corr:
+            n = self.present.select("node").distinct().count()
+            beta = {r["t"]: [[r["w"] / n**2] * q for _ in range(q)] for r in self.edges.groupBy("t").agg(F.sum("w").cast("double").alias("w")).collect()}
+        elif beta is None:
             first = bp.initial_blocks(self.edges, self.present, q).collect()
             beta = {r["t"]: [[r[f"b{i}{j}"] for j in range(q)] for i in range(q)] for r in first}
         (msgs, m_uri), (nodes, n_uri) = (stored(x, name) for x, name in zip(self.initial(labels), ("messages", "nodes")))
@@ -106,8 +110,8 @@ class TemporalBlockModel:
             # The first steps, whose parameters are far off, take fewer sweeps.
             short = min(sweeps, sweeps // 3 + 1) if it < 5 and rounds > 1 else sweeps
             for k in range(sweeps if frozen else short):
-                fields = bp.field_terms(msgs, table, q, self.directed)
-                swept, swept_uri = stored(bp.sweep_nodes(fields, nodes, table, alpha, pi, q, meta, s.tuning), "nodes")
+                fields = bp.field_terms(msgs, table, q, self.directed) if self.degrees is None else bp.field_terms_dc(msgs, self.degrees, table, q, self.directed)
+                swept, swept_uri = stored(bp.sweep_nodes(fields, nodes, table, alpha, pi, q, meta, s.tuning, self.directed, self.degrees), "nodes")
                 new, new_uri = stored(bp.sweep_messages(fields, swept, q), "messages")
                 change = bp.largest_change(new, msgs, ["t", "recv", "send"], X.cols("psi", q))
                 remove(spark, m_uri, n_uri)
@@ -116,21 +120,24 @@ class TemporalBlockModel:
                     break
             moved = 0.0
             if not frozen:
-                pairs = bp.edge_pairs(msgs, table, q, self.directed)
+                pairs = bp.edge_pairs(msgs, table, q, self.directed, self.degrees)
                 rate = s.learning_rate
                 mix = lambda new, old: rate * float(new or 0.0) + (1 - rate) * old
                 a = bp.alpha_estimate(nodes, q).first()
                 p = bp.pi_estimate(bp.time_pairs(nodes, pi, q), q).first()
-                b = {r["t"]: r for r in bp.beta_estimate(pairs, nodes, q, self.directed).collect()}
-                was = [*alpha, *sum(pi, []), *(v for t in sorted(beta) for row in beta[t] for v in row)]
+                estimate = bp.beta_estimate(pairs, nodes, q, self.directed) if self.degrees is None else bp.lambda_estimate(pairs, nodes, self.degrees, q, self.directed)
+                b = {r["t"]: r for r in estimate.collect()}
+                few, was = [*alpha, *sum(pi, [])], [v for t in sorted(beta) for row in beta[t] for v in row]
                 alpha = [mix(a[f"a{k}"], alpha[k]) for k in range(q)]
                 pi = [[mix(p[f"pi{r}{k}"], pi[r][k]) for k in range(q)] for r in range(q)]
                 beta = {t: [[mix(b[t][f"b{r}{k}"], beta[t][r][k]) for k in range(q)] for r in range(q)] if t in b else beta[t] for t in beta}
-                now = [*alpha, *sum(pi, []), *(v for t in sorted(beta) for row in beta[t] for v in row)]
-                moved = max(abs(x - y) for x, y in zip(now, was))
+                now = [v for t in sorted(beta) for row in beta[t] for v in row]
+                # Degree-corrected rates can be of any size: theirs is the relative change.
+                by = lambda y: (1 / y if y > 0 else 0.0) if self.deg_corr else 1.0
+                moved = max(*(abs(x - y) for x, y in zip([*alpha, *sum(pi, [])], few)), *(abs(x - y) * by(y) for x, y in zip(now, was)))
             energy = None
             if it % s.fe_freq == 0 or it == rounds - 1 or moved < s.conv_tol:
-                energy = bp.free_energy(msgs, nodes, nodes, bp.blocks(spark, beta), pi, q).first()["energy"]
+                energy = bp.free_energy(msgs, nodes, nodes, bp.blocks(spark, beta), pi, q, self.directed, self.degrees).first()["energy"]
                 if best is None or energy < best:
                     best, stale = energy, 0
                 else:
@@ -175,12 +182,12 @@ def fit_tunings(model: TemporalBlockModel, labels: DataFrame, tunings: Sequence[
     return min(fits, key=lambda x: x[1].energy)
 
 
-def hierarchy(edges: DataFrame, q: int, levels: int, settings: Settings = Settings(), **options) -> DataFrame:
+def hierarchy(edges: DataFrame, q: int, levels: int, settings: Settings = Settings(), directed: bool = False, deg_corr: bool = False, **options) -> DataFrame:
     """(level, node, t, q): groups split again while more than ``h_min_n`` nodes have them as their majority label.
 
     A level keeps labels of groups that it doesn't split, and numbers new groups from there on.
     """
-    model = TemporalBlockModel(edges, q, settings=settings)
+    model = TemporalBlockModel(edges, q, settings=settings, directed=directed, deg_corr=deg_corr)
     now, _ = stored(model.fit_best(list(model.starts()), **options).labels, "labels")
     out = now.withColumn("level", F.lit(0))
     for level in range(1, levels):
@@ -197,7 +204,7 @@ def hierarchy(edges: DataFrame, q: int, levels: int, settings: Settings = Settin
             if sub.isEmpty():
                 parts.append(nodes)
                 continue
-            inner = TemporalBlockModel(sub, q, settings=settings)
+            inner = TemporalBlockModel(sub, q, settings=settings, directed=directed, deg_corr=deg_corr)
             found = inner.fit_best(list(inner.starts()), **options).labels
             relabelled = found.select("node", "t", (F.col("q") + shift + k * q).cast("int").alias("new"))
             # Nodes without an edge inside the group keep its label.

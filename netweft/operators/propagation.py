@@ -98,24 +98,48 @@ def field_terms_dc(messages: DataFrame, degs: DataFrame, lam: DataFrame, q: int,
 
     The undirected edge has one weight, so its probability is used as it is; a directed one multiplies both directions'.
     """
+    psi = X.cols("psi", q)
+    logged, top = dc_logs(messages, degs, lam, q, directed), _largest_log(q)
+    return logged.select(*messages.columns, *(F.expr(X.dot(psi, [f"exp(d{r}{k} - {top})" for r in range(q)])).alias(f"f{k}") for k in range(q)))
+
+
+def _largest_log(q: int) -> str:
+    return "greatest(" + ", ".join(f"d{r}{k}" for r in range(q) for k in range(q)) + ")"
+
+
+def dc_logs(messages: DataFrame, degs: DataFrame, lam: DataFrame, q: int, directed: bool = False) -> DataFrame:
+    """Adds d00..: logs of the edge's Poisson probability by the sender's and the receiver's group; directed: of both directions'."""
     at = lambda end, x: degs.select(F.col("node").alias(end), "t", F.col("d_out").alias(f"{x}_out"), F.col("d_in").alias(f"{x}_in"))
-    b, psi = beta_columns(q), X.cols("psi", q)
-    logs = []
+    b, logs = beta_columns(q), []
     for r in range(q):
         for k in range(q):
             e = X.poisson_logpmf("w_fwd", f"(s_out * r_in * {b[r][k]})")
             logs.append(f"({e} + {X.poisson_logpmf('w_rev', f'(r_out * s_in * {b[k][r]})')})" if directed else e)
     joined = messages.join(at("send", "s"), ["send", "t"]).join(at("recv", "r"), ["recv", "t"]).join(F.broadcast(lam), "t")
-    logged = joined.select(*messages.columns, *(F.expr(e).alias(f"d{i // q}{i % q}") for i, e in enumerate(logs)))
-    top = "greatest(" + ", ".join(f"d{r}{k}" for r in range(q) for k in range(q)) + ")"
-    return logged.select(*messages.columns, *(F.expr(X.dot(psi, [f"exp(d{r}{k} - {top})" for r in range(q)])).alias(f"f{k}") for k in range(q)))
+    return joined.select(*messages.columns, *(F.expr(e).alias(f"d{i // q}{i % q}") for i, e in enumerate(logs)))
 
 
-def external_field(nodes: DataFrame, beta: DataFrame, q: int) -> DataFrame:
-    """(t, h0..): the snapshot's marginals through the block probabilities; a row for each snapshot."""
-    b = beta_columns(q)
-    total = nodes.groupBy("t").agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in range(q)))
-    return total.join(F.broadcast(beta), "t").select("t", *(F.expr(X.dot(X.cols("p", q), [b[r][k] for r in range(q)])).alias(f"h{k}") for k in range(q)))
+def external_field(nodes: DataFrame, beta: DataFrame, q: int, directed: bool = False, degs: DataFrame | None = None) -> DataFrame:
+    """(t, h0..): the snapshot's marginals through the block probabilities; a row for each snapshot.
+
+    directed: both ways' probabilities. degs: marginals weigh by out-degrees and h counts for each degree of the receiver; if
+    directed, h counts for its in-degree and g0.., of in-degrees the other way, for its out-degree.
+    """
+    b, p = beta_columns(q), X.cols("p", q)
+    if degs is None:
+        total = nodes.groupBy("t").agg(*(F.sum(c).alias(c) for c in p))
+        both = lambda r, k: f"({b[r][k]} + {b[k][r]})" if directed else b[r][k]
+        return total.join(F.broadcast(beta), "t").select("t", *(F.expr(X.dot(p, [both(r, k) for r in range(q)])).alias(f"h{k}") for k in range(q)))
+    rows = _degree_sums(nodes, degs, q).join(F.broadcast(beta), "t")
+    h = [F.expr(X.dot(X.cols("o", q), [b[r][k] for r in range(q)])).alias(f"h{k}") for k in range(q)]
+    g = [F.expr(X.dot(X.cols("i", q), [b[k][r] for r in range(q)])).alias(f"g{k}") for k in range(q)] if directed else []
+    return rows.select("t", *h, *g)
+
+
+def _degree_sums(nodes: DataFrame, degs: DataFrame, q: int) -> DataFrame:
+    """(t, o0.., i0..): marginals weighed by out- and by in-degrees."""
+    of = lambda d, x: (F.sum(F.col(f"p{k}") * F.col(d)).alias(f"{x}{k}") for k in range(q))
+    return nodes.join(degs, ["node", "t"]).groupBy("t").agg(*of("d_out", "o"), *of("d_in", "i"))
 
 
 def _temporal(q: int, pi: Sequence[Sequence[float]], direction: str) -> list[str]:
@@ -138,18 +162,21 @@ def temporal_terms(nodes: DataFrame, pi: Sequence[Sequence[float]], q: int) -> D
     return rows.select(*nodes.columns, (F.col("old_fwd0").isNotNull()).alias("continues"), *(F.expr(e).alias(f"lf{i}") for i, e in enumerate(lf)), *(F.expr(e).alias(f"lb{i}") for i, e in enumerate(lb)))
 
 
-def sweep_nodes(fields: DataFrame, nodes: DataFrame, beta: DataFrame, alpha: Sequence[float], pi: Sequence[Sequence[float]], q: int, meta: DataFrame | None = None, tuning: float = 1.0) -> DataFrame:
+def sweep_nodes(fields: DataFrame, nodes: DataFrame, beta: DataFrame, alpha: Sequence[float], pi: Sequence[Sequence[float]], q: int, meta: DataFrame | None = None, tuning: float = 1.0, directed: bool = False, degs: DataFrame | None = None) -> DataFrame:
     """One synchronous sweep of the node table: (node, t, p0.., fwd0.., bwd0.., w0..).
 
-    fields: ``field_terms``. meta: (node, t, m0..), log-likelihoods. w: the nodes' log-weights, of which messages are made.
+    fields: ``field_terms``, or ``field_terms_dc`` with degs (node, t, d_in, d_out). meta: (node, t, m0..), log-likelihoods. w: the nodes' log-weights, of which messages are made.
     A node that wasn't present a step earlier begins by alpha.
     """
     site = fields.groupBy(F.col("recv").alias("node"), "t").agg(*(F.sum(F.expr(X.safe_ln(f"f{k}"))).alias(f"s{k}") for k in range(q)))
     rows = temporal_terms(nodes.select("node", "t", *X.cols("p", q), *X.cols("fwd", q), *X.cols("bwd", q)), pi, q).join(site, ["node", "t"])
-    rows = rows.join(F.broadcast(external_field(nodes, beta, q)), "t")
+    rows = rows.join(F.broadcast(external_field(nodes, beta, q, directed, degs)), "t")
+    if degs is not None:
+        rows = rows.join(degs.select("node", "t", "d_in", "d_out"), ["node", "t"])
+    outside = lambda k: f"h{k}" if degs is None else f"(h{k} * d_in + g{k} * d_out)" if directed else f"h{k} * d_out"
     if meta is not None:
         rows = rows.join(meta, ["node", "t"], "left")
-    own = lambda k: f"s{k} - h{k}" + (f" + CAST({tuning!r} AS DOUBLE) * coalesce(m{k}, CAST(0 AS DOUBLE))" if meta is not None else "")
+    own = lambda k: f"s{k} - {outside(k)}" + (f" + CAST({tuning!r} AS DOUBLE) * coalesce(m{k}, CAST(0 AS DOUBLE))" if meta is not None else "")
     # Before the forward term, alpha counts at the first snapshot only; with it, wherever a node begins.
     start = [f"ln(CAST({float(a)!r} AS DOUBLE))" for a in alpha]
     pre = [f"{own(k)} + lb{k} + CASE WHEN t = 0 THEN {start[k]} ELSE CAST(0 AS DOUBLE) END" for k in range(q)]
@@ -178,22 +205,29 @@ def sweep_messages(fields: DataFrame, swept: DataFrame, q: int) -> DataFrame:
     )
 
 
-def paired(messages: DataFrame, q: int) -> DataFrame:
+def paired(messages: DataFrame, q: int, others: DataFrame | None = None) -> DataFrame:
     """Messages with the opposite ones: back0.. is what the sender holds of the receiver."""
-    other = messages.select("t", F.col("send").alias("recv"), F.col("recv").alias("send"), *(F.col(f"psi{k}").alias(f"back{k}") for k in range(q)))
+    other = (messages if others is None else others).select("t", F.col("send").alias("recv"), F.col("recv").alias("send"), *(F.col(f"psi{k}").alias(f"back{k}") for k in range(q)))
     return messages.join(other, ["t", "recv", "send"])
 
 
-def edge_pairs(messages: DataFrame, beta: DataFrame, q: int, directed: bool = False) -> DataFrame:
+def _pair_weights(messages: DataFrame, beta: DataFrame, q: int, directed: bool, degs: DataFrame | None, both_ways: bool) -> tuple[DataFrame, dict[tuple[int, int], str]]:
+    """Paired messages and the unnormalised weight of each group pair; with degs by the degree-corrected probabilities."""
+    factor = beta_columns(q) if degs is None else [[f"exp(d{r}{k} - {_largest_log(q)})" for k in range(q)] for r in range(q)]
+    known = messages.join(F.broadcast(beta), "t") if degs is None else dc_logs(messages, degs, beta, q, both_ways)
+    raw = {
+        (r, k): f"(psi{r} * back{k}" + (f" + psi{k} * back{r}" if r != k and not directed else "") + f") * {factor[r][k]}" for r in range(q) for k in range(q)
+    }
+    return paired(known, q, messages), raw
+
+
+def edge_pairs(messages: DataFrame, beta: DataFrame, q: int, directed: bool = False, degs: DataFrame | None = None) -> DataFrame:
     """Adds e00..: shares of group pairs (sender's, receiver's) for each ordered pair of neighbours.
 
-    An undirected edge's off-diagonal pairs count in both orders.
+    An undirected edge's off-diagonal pairs count in both orders. With degs, a directed edge counts by its own direction alone.
     """
-    b = beta_columns(q)
-    raw = {
-        (r, k): f"(psi{r} * back{k}" + (f" + psi{k} * back{r}" if r != k and not directed else "") + f") * {b[r][k]}" for r in range(q) for k in range(q)
-    }
-    rows = paired(messages, q).join(F.broadcast(beta), "t").select(*messages.columns, *(F.expr(e).alias(f"u{r}{k}") for (r, k), e in raw.items()))
+    known, raw = _pair_weights(messages, beta, q, directed, degs, both_ways=False)
+    rows = known.select(*messages.columns, *(F.expr(e).alias(f"u{r}{k}") for (r, k), e in raw.items()))
     total = X.add([f"u{r}{k}" for r, k in raw])
     return rows.select(*messages.columns, *(F.expr(X.ratio(f"u{r}{k}", total)).alias(f"e{r}{k}") for r, k in raw))
 
@@ -242,21 +276,21 @@ def lambda_estimate(pairs: DataFrame, nodes: DataFrame, degs: DataFrame, q: int,
     return rows.crossJoin(F.broadcast(pooled)).select("t", *(F.expr(value(r, k)).alias(f"b{r}{k}") for r in range(q) for k in range(q)))
 
 
-def free_energy(messages: DataFrame, nodes: DataFrame, weights: DataFrame, beta: DataFrame, pi: Sequence[Sequence[float]], q: int) -> DataFrame:
+def free_energy(messages: DataFrame, nodes: DataFrame, weights: DataFrame, beta: DataFrame, pi: Sequence[Sequence[float]], q: int, directed: bool = False, degs: DataFrame | None = None) -> DataFrame:
     """One row (edge, time, site, pair, energy), for each present row; lower is better.
 
     weights: (node, t, w0..), log-weights of a sweep. Ordered pairs: an undirected edge counts twice.
     """
     b = beta_columns(q)
-    raw = [f"(psi{r} * back{k}" + (f" + psi{k} * back{r}" if r != k else "") + f") * {b[r][k]}" for r in range(q) for k in range(q)]
-    edge = paired(messages, q).join(F.broadcast(beta), "t").agg(F.sum(F.expr(X.ln_or_zero(X.add(raw)))).alias("edge"))
+    known, raw = _pair_weights(messages, beta, q, directed, degs, both_ways=directed)
+    edge = known.agg(F.sum(F.expr(X.ln_or_zero(X.add(list(raw.values()))))).alias("edge"))
     moves = X.add([f"fwd{r} * bwd{k} * CAST({float(pi[r][k])!r} AS DOUBLE)" for r in range(q) for k in range(q)])
     time = nodes.where("bwd0 IS NOT NULL").agg(F.coalesce(F.sum(F.expr(X.ln_or_zero(moves))), F.lit(0.0)).alias("time"))
     w = X.cols("w", q)
     top = f"greatest({', '.join(w)})"
     site = weights.agg(F.sum(F.expr(f"{top} + ln({X.add([f'exp({x} - {top})' for x in w])})")).alias("site"), F.count(F.lit(1)).alias("n"))
-    size = nodes.groupBy("t").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(q)))
-    pair = size.join(F.broadcast(beta), "t").agg(F.sum(F.expr(X.add([f"p{r} * {b[r][k]} * p{k}" for r in range(q) for k in range(q)]))).alias("pair"))
+    size, out, into = (nodes.groupBy("t").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(q))), "p", "p") if degs is None else (_degree_sums(nodes, degs, q), "o", "i")
+    pair = size.join(F.broadcast(beta), "t").agg(F.sum(F.expr(X.add([f"{out}{r} * {b[r][k]} * {into}{k}" for r in range(q) for k in range(q)]))).alias("pair"))
     one = edge.crossJoin(time).crossJoin(site).crossJoin(pair)  # one row each
     return one.select(*((F.col(c) / F.col("n")).alias(c) for c in ("edge", "time", "site", "pair"))).withColumn("energy", F.expr("edge + time - site + pair"))
 

@@ -111,6 +111,66 @@ def test_early_steps_take_a_third_of_the_sweeps_and_one(spark, monkeypatch):
         assert len(count) == want
 
 
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("deg_corr", [False, True])
+def test_sweep_and_energy_of_every_kind_of_model_are_those_by_hand(spark, directed, deg_corr):
+    rows = [(0, 0, 1, 2.0), (0, 1, 0, 1.0), (0, 1, 2, 3.0), (0, 3, 2, 1.0), (0, 3, 0, 1.0), (0, 4, 1, 2.0)]
+    model = em.TemporalBlockModel(spark.createDataFrame(rows, "t int, src long, dst long, w double"), 2, directed=directed, deg_corr=deg_corr)
+    b, alpha, pi, g = [[0.2, 0.05 if directed else 0.1], [0.1, 0.3]], [0.6, 0.4], [[0.5, 0.5]] * 2, range(2)
+    msgs, nodes = model.initial(model.present.withColumn("q", F.expr("cast(node % 2 as int)")))
+    table, degs = bp.blocks(spark, {0: b}), model.degrees
+    fields = bp.field_terms_dc(msgs, degs, table, 2, directed) if deg_corr else bp.field_terms(msgs, table, 2, directed)
+    found = bp.sweep_nodes(fields, nodes, table, alpha, pi, 2, directed=directed, degs=degs)
+
+    n, w = range(5), {}
+    for _, i, j, x in rows:
+        w[i, j] = w.get((i, j), 0) + x
+        if not directed:
+            w[j, i] = w.get((j, i), 0) + x
+    w = {e: (x if directed else x / 2) if deg_corr else 1.0 for e, x in w.items()}
+    d_out, d_in = ([sum(x for e, x in w.items() if e[end] == i) for i in n] for end in (0, 1))
+    p = {r["node"]: (r["p0"], r["p1"]) for r in nodes.collect()}
+    psi = {(r["send"], r["recv"]): (r["psi0"], r["psi1"]) for r in msgs.collect()}
+    assert set(psi) == set(w) | {(j, i) for i, j in w}
+
+    def edge(j, i, r, k, both):
+        f, e = w.get((j, i), 0.0), w.get((i, j), 0.0)
+        pois = lambda x, m: math.exp(x * math.log(m) - m - math.lgamma(x + 1))
+        if not deg_corr:
+            return b[r][k] ** f * b[k][r] ** e if both else b[r][k]
+        tiny = lambda m: max(m, 1e-50)
+        one = pois(f, tiny(d_out[j] * d_in[i] * b[r][k]))
+        return one * pois(e, tiny(d_out[i] * d_in[j] * b[k][r])) if both else one
+
+    def outside(i, k):
+        if not deg_corr:
+            return sum(p[j][r] * (b[r][k] + (b[k][r] if directed else 0)) for j in n for r in g)
+        if not directed:
+            return d_out[i] * sum(p[j][r] * d_out[j] * b[r][k] for j in n for r in g)
+        return sum(p[j][r] * (d_in[i] * d_out[j] * b[r][k] + d_out[i] * d_in[j] * b[k][r]) for j in n for r in g)
+
+    for x in found.collect():
+        i = x["node"]
+        logs = [math.log(alpha[k]) - outside(i, k) + sum(math.log(sum(psi[j, i][r] * edge(j, i, r, k, directed) for r in g)) for j in n if (j, i) in psi) for k in g]
+        assert x["p0"] == pytest.approx(1 / (1 + math.exp(logs[1] - logs[0])), abs=1e-9)
+
+    def mass(j, i, both):
+        m = {(r, k): psi[j, i][r] * psi[i, j][k] + (psi[j, i][k] * psi[i, j][r] if r != k and not directed else 0) for r in g for k in g}
+        e = {c: edge(j, i, *c, both) for c in m}
+        top = max(e.values()) if deg_corr else 1
+        return {c: m[c] * e[c] / top for c in m}
+
+    energy = bp.free_energy(msgs, nodes, found, table, pi, 2, directed, degs).first()
+    pair = sum(p[i][r] * b[r][k] * p[j][k] * (d_out[i] * d_in[j] if deg_corr else 1) for i in n for j in n for r in g for k in g)
+    assert energy["edge"] * 5 == pytest.approx(sum(math.log(sum(mass(j, i, directed and deg_corr).values())) for j, i in psi))
+    assert energy["pair"] * 5 == pytest.approx(pair)
+    for x in bp.edge_pairs(msgs, table, 2, directed, degs).collect():
+        m = mass(x["send"], x["recv"], False)
+        assert all(x[f"e{r}{k}"] == pytest.approx(m[r, k] / sum(m.values())) for r in g for k in g)
+    fit = model.fit(model.present.withColumn("q", F.expr("cast(node % 2 as int)")), max_iter=2, max_msg_iter=2)
+    assert fit.labels.count() == 5 and math.isfinite(fit.energy)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), *((k, k + 1) for k in range(100, 140))]
     found, _ = connected_components(spark.createDataFrame(links, "a long, b long"))
