@@ -36,7 +36,8 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})")
+_BODY = re.compile(r"(?:\x20?[A-Z0-9]{4}){0,7}(?:\x20?[A-Z0-9]{1,3})?")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # Words that make a kind more likely, or less so, when they stand within WINDOW characters.
@@ -52,6 +53,17 @@ AGAINST = ("build", "example", "isbn", "order", "part", "release", "sample", "ve
 # What a kind's pattern and check are worth by themselves.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 WINDOW = 40
+# Characters of the registered countries' account numbers (ISO 13616).
+_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 
 
 class Span(NamedTuple):
@@ -91,6 +103,26 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """By the starts: the end that the country's registered length gives, then the last possible one."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < free:
+            continue
+        stop = _BODY.match(text, m.end()).end()
+        ends, n = {}, 4
+        for at in range(m.end(), stop):
+            n += text[at] != " "
+            if text[at] != " " and 15 <= n <= 34 and not (text[at + 1 : at + 2].isascii() and text[at + 1 : at + 2].isalnum()):
+                ends[n] = at + 1
+        own = ends.get(_LENGTHS.get(text[m.start() : m.start() + 2]))
+        for end in (own, max(ends.values(), default=None)):
+            if end is not None and mod97(text[m.start() : end]):
+                free = end
+                yield m.start(), free
+                break
+
+
 def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
@@ -111,9 +143,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 8 <= len(_digits(m[0])) <= 15:
             yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()

@@ -71,6 +71,15 @@ def test_pii_checksums_context_and_redaction():
     assert pii.redacted(None) is None and pii.redacted("") == ""
 
 
+def test_pii_account_numbers_end_at_their_countrys_length():
+    for iban in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "NO9386011117947"):
+        for after in ("", " A Juan", " 2024", " BIC OPSK", ", 2024", " 7"):
+            text = f"pay ID12 {iban}{after}"
+            assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == [iban], text
+            assert pii.redacted(text).startswith("pay ID12 [IBAN]")
+    assert not [s for s in pii.find_spans("ES9121000418450200051333 A Juan") if s.kind == "iban"]
+
+
 def test_pii_is_linear_in_awkward_texts():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "9" * 5000 + ".1.1.1"):
         pii.find_spans(text)
