@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from netweft.llm import jpeg
 from netweft.llm.batches import keyed_texts, pieces
+from netweft.plans.scratch import stored
 
 #: Units between restarts; rows of units in an image, 16 samples each and 65,535 samples at most.
 EVERY, ROWS = 16, 4_095
@@ -198,10 +199,18 @@ def read(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFra
     return rows.mapInArrow(mapped, f"{schema},payload:binary,feature:string,height:bigint,width:bigint,rgb:binary".replace(":", " "))
 
 
+def write_tensors(rows: DataFrame, path: str, media: str = "media") -> None:
+    """Writes rows with a media column, and payload, feature, height, width and the full-resolution rgb of each, as parquet.
+
+    A pixel is three bytes: of a file that ``encode`` made, about twice the payload's bytes before compression.
+    """
+    read(rows, media).write.mode("overwrite").parquet(path)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores whole ``documents`` and returns what is read back."""
-    stored = store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read(stored, tensors=False).select(
+    """Writes whole ``documents`` as a media column and returns what is read back from there."""
+    files, _ = stored(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return read(files, tensors=False).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from netweft.llm import byte_bpe, decontamination, jpeg, language, media, minhash, pii, quality, repeats, shingles, token_files, warc
 from netweft.plans.scratch import new_folder
+from netweft.plans.scratch import stored as plans_stored
 
 PROSE = "the cat sat on the mat and the dog lay by the door of the old house while it was raining in the town "
 LONG = " ".join(f"word{i % 977} and thing{i % 1013}" for i in range(20_000))
@@ -389,6 +390,21 @@ def test_media_round_trip_and_equal_texts(odd, nothing):
     assert media.read(media.store(nothing)).count() == 0
 
 
+def test_media_are_written_before_they_are_read(spark, data, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(media, "stored", lambda df, name: seen.append(plans_stored(df, name)) or seen[-1])
+    rows = {r["doc_id"]: r for r in media.op2_media(spark, data).collect()}
+    ((files, uri),) = seen
+    on_disk = {r["doc_id"]: r for r in spark.read.parquet(uri).collect()}
+    assert set(on_disk) == set(rows) and all(media.sha256(bytes(on_disk[k]["media"])) == r["media_sha256"] for k, r in rows.items())
+    media.write_tensors(files.limit(20), str(tmp_path / "rgb"))
+    pixels = spark.read.parquet(str(tmp_path / "rgb")).collect()
+    assert len(pixels) == 20
+    for r in pixels:
+        want = media.jpeg.rgb(next(iter(media.jpeg.decode([bytes(on_disk[r["doc_id"]]["media"])]))))
+        assert bytes(r["rgb"]) == want.tobytes() and len(r["rgb"]) == r["height"] * r["width"] * 3
+
+
 def test_media_of_null_files_are_null(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(media.encode(bytes(64))))], "doc_id long, media binary")
     got = {r["doc_id"]: r for r in media.read(df).collect()}
