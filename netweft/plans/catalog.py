@@ -191,8 +191,8 @@ def meta_extract(s, d):
 
 def _loglik(dist: str) -> Query:
     def f(s, d):
-        rows = T.part_fields(s, d)[dist].where("t BETWEEN 0 AND 6")
-        return rounded(metadata.score(rows, T.params(s, dist), dist), "loglik")
+        rows = T.part_fields(s, d)[dist]
+        return rounded(metadata.score(rows, T.params(rows, dist), dist), "loglik")
 
     return f
 

@@ -70,16 +70,16 @@ def part_fields(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def params(spark: SparkSession, dist: str, snapshots: int = 7) -> DataFrame:
-    """(t, q, theta): parameters by a rule."""
+def params(rows: DataFrame, dist: str) -> DataFrame:
+    """(t, q, theta): parameters by a rule, for the snapshots of the rows."""
     width = {"poisson": 1, "indep bernoulli": 6, "multinomial": 3, "categorical": 5}[dist]
-    value = "(1 + (t + q * 3 + l * 5) % 7) / CAST(8 AS DOUBLE)"
+    value = "(1 + pmod(t + q * 3 + l * 5, 7)) / CAST(8 AS DOUBLE)"
     if dist in ("multinomial", "categorical"):
         value = f"({value}) / " + X.add([f"({value})".replace("l *", f"{k} *") for k in range(width)])
     if dist == "poisson":
         value = f"4 * {value}"
     cells = F.array(*(F.expr(value.replace("l *", f"{k} *")) for k in range(width)))
-    return spark.range(snapshots).select(F.col("id").cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("q")).select("t", "q", cells.alias("theta"))
+    return rows.select("t").distinct().select("t", F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("q")).select("t", "q", cells.alias("theta"))
 
 
 def param_formula(dist: str, k: int) -> str:

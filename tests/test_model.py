@@ -232,6 +232,20 @@ def test_profiles_of_whole_sources(spark, data):
     assert age.keys() - regions.keys() and regions.keys() - age.keys()
 
 
+def test_likelihoods_of_years_outside_the_given_tables(spark, tmp_path):
+    from netweft.plans import catalog
+
+    sales = [(7, 1, f"{y}-05-01", "A", "F") for y in (1994, 1998, 2005)]
+    spark.createDataFrame(sales, "l_partkey long, l_suppkey long, l_shipdate string, l_returnflag string, l_linestatus string").withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("poisson", "bernoulli", "categorical", "multinomial"):
+        got = {(r["t"], r["q"]): r["loglik"] for r in catalog.QUERIES[f"loglik_{name}"](spark, str(tmp_path)).collect()}
+        assert set(got) == {(t, q) for t in (-1, 3, 10) for q in range(4)} and all(math.isfinite(x) for x in got.values())
+        if name == "poisson":
+            for (t, q), x in got.items():
+                rate = 4 * (1 + (t + q * 3) % 7) / 8
+                assert x == pytest.approx(math.log(rate) - rate, abs=1e-6)
+
+
 def test_log_gamma_is_that_of_the_library(spark):
     row = spark.range(1).select(*(F.expr(X.lgamma1p(f"CAST({k} AS DOUBLE)")).alias(f"k{k}") for k in (0, 1, 2, 10, 500))).first()
     for k in (0, 1, 2, 10, 500):
