@@ -107,6 +107,8 @@ class TemporalBlockModel:
         for it in range(1 if frozen else rounds):
             table = bp.blocks(spark, beta)
             meta = self._meta(self._shares(nodes))
+            if meta is not None:  # the first sweep removes the nodes that it is made of
+                meta, meta_uri = stored(meta, "meta")
             # The first steps, whose parameters are far off, take fewer sweeps.
             short = min(sweeps, sweeps // 3 + 1) if it < 5 and rounds > 1 else sweeps
             for k in range(sweeps if frozen else short):
@@ -118,6 +120,8 @@ class TemporalBlockModel:
                 (msgs, m_uri), (nodes, n_uri) = (new, new_uri), (swept, swept_uri)
                 if change < s.msg_conv_tol:
                     break
+            if meta is not None:
+                remove(spark, meta_uri)
             moved = 0.0
             if not frozen:
                 pairs = bp.edge_pairs(msgs, table, q, self.directed, self.degrees)
