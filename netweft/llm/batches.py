@@ -26,3 +26,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def sampled(rows: DataFrame, n: int) -> DataFrame:
+    """(key, text) of the n ids with the smallest hash, each with the smallest of its texts: the same ones however the table is dealt out.
+
+    The rows are counted first, so that only about 2 n of them, and all rows of the same ids, pass a threshold of the hash
+    and leave their tasks; repeated ids are made one within each task.
+    """
+    total = rows.count()
+    low = rows.withColumn("h", F.xxhash64("key"))
+    if total > 2 * n:
+        low = low.where(F.col("h") < -(1 << 63) + (2 * n << 64) // total)
+    return low.groupBy("h", "key").agg(F.min("text").alias("text")).orderBy("h", "key").limit(n).select("key", "text")

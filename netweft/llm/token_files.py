@@ -17,6 +17,7 @@ import hashlib
 import io
 import os
 import posixpath
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import keyed_texts, pieces
+from netweft.llm.batches import keyed_texts, pieces, sampled
+from netweft.llm.parts import Known, encoded, lists_of
 from netweft.plans.scratch import new_folder
 
 MAGIC = b"NWTOKENS"
@@ -39,39 +42,67 @@ HEADER = struct.Struct("<8s32sI")
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "?"), ("offset", "<u8"), ("length", "<u8"), ("first", "<u8"), ("n_tokens", "<u8")])
 #: Documents that the dictionary is trained on, and bytes that it may have.
 SAMPLE, DICTIONARY_BYTES = 1_000, 32 << 10
+_MARKS, _TOGETHER = b",.;:!?", 1_000
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
-    """A tokenizer of the tokenizers library that drops white space, asked once for each span between blanks.
+    """A tokenizer of the tokenizers library that drops white space, asked once for each part between blanks.
 
     Such a tokenizer sees what stands between white space as separate words, so
-    the ids of a text are those of its spans, put together. Only blanks and
-    line ends are split at here; any other white space stays within a span.
+    the ids of a text are those of its parts, put together. Parts also end
+    before those of ``_MARKS`` that the tokenizer sets apart from letters and
+    digits. If a word's last token can be told from others, many words of
+    letters go through the tokenizer as one text.
     """
 
-    def __init__(self, path: str, held: int = 600_000):
+    def __init__(self, path: str, held: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held = Tokenizer.from_file(path), held
+        self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, spans: set[str]) -> None:
-        known = self.known
-        new = [x for x in spans if x not in known]
-        if len(known) + len(new) > self.held:
-            known.clear()
-            known[""] = b""
-            new = list(spans)
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        self._learn({x for spans in split for x in spans})
-        return [b"".join(map(self.known.__getitem__, spans)) for spans in split]
+        self.stripped, self.words = Known(self._learn, held), Known(self._strip, held)
+        self.marks = bytes(x for x in _MARKS if self._apart(chr(x)))
+        ending = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.vocabulary, bool)
+        if ending:
+            self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(ending)]] = True
+
+    def _apart(self, mark: str) -> bool:
+        """Whether a mark that follows a letter or a digit begins a word."""
+        split = self.tokenizer.pre_tokenizer
+        return split is not None and all(any(end == 1 for _, (_, end) in split.pre_tokenize_str(x + mark)) for x in "aZ09")
+
+    def _strip(self, parts: list[str]) -> pa.LargeListArray:
+        return self.stripped(pc.utf8_trim(pa.array(parts, pa.large_string()), " \n"))
+
+    def _learn(self, parts: list[str]) -> pa.LargeListArray:
+        own: list[list[int]] = [[]] * len(parts)
+        alone, words = [], []
+        for i, x in enumerate(parts):
+            (words if _LETTERS.fullmatch(x) else alone).append(i)
+        for k in range(0, len(words), _TOGETHER):
+            some = words[k : k + _TOGETHER]
+            ids = self.tokenizer.encode_batch_fast([" ".join(parts[i] for i in some)], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                alone += some
+                continue
+            at = 0
+            for i, end in zip(some, ends.tolist()):
+                own[i] = ids[at:end]
+                at = end
+        for k in range(0, len(alone), _TOGETHER):
+            some = alone[k : k + _TOGETHER]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)):
+                own[i] = e.ids
+        return lists_of([i for ids in own for i in ids], list(map(len, own)))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, first = encoded(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), self.words, self.marks)
+        return [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
 _made: dict[str, WordEncoder] = {}
@@ -97,12 +128,6 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def _sample(docs: DataFrame, n: int) -> list[str]:
-    """The n texts with the smallest hash of their id: the same ones however the table is dealt out."""
-    rows = docs.withColumn("h", F.xxhash64("key")).orderBy("h", "text").limit(n).select("text").toLocalIterator()
-    return [r.text for r in rows]
-
-
 class _Part:
     """The files of one part while they are written."""
 
@@ -116,9 +141,9 @@ class _Part:
         self.pack = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
         self.at, self.tokens, self.index, self.width = HEADER.size, 0, [], width
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // 4
-        frame = self.pack.compress(ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        n = len(ids)
+        frame = self.pack.compress(ids.astype(f"<u{self.width}").tobytes())
         self.out.write(frame)
         self.index.append((doc_id or 0, doc_id is not None, self.at, len(frame), self.tokens, n))
         self.at += len(frame)
@@ -145,10 +170,10 @@ def write(
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = keyed_texts(docs, key, text)
-    ending = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    ending = np.array([] if end_id is None else [end_id], np.uint32)
     mine = WordEncoder(path)
     width = 2 if max(mine.vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4
-    samples = [np.frombuffer(x + ending, "<u4").astype(f"<u{width}").tobytes() for x in mine.encode(_sample(rows, sample))]
+    samples = [np.append(x, ending).astype(f"<u{width}").tobytes() for x in mine.encode([r.text for r in sampled(rows, sample).collect()])]
     dictionary = train_dictionary(samples)
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
@@ -158,11 +183,11 @@ def write(
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, e, part = TaskContext.get(), encoder(path), None
         name = f"part-{task.partitionId():05d}"
-        for some in pieces(batches):
+        for some in pieces(batches, limit=8 << 20):
             if part is None:
                 part = _Part(folder, name, str(task.taskAttemptId()), dictionary, width)
-            for doc_id, ids in zip(some.column("key").to_pylist(), e.encode(some.column("text").to_pylist())):
-                part.add(doc_id, ids + ending)
+            for doc_id, ids in zip(some.column("key").to_pylist(), e.encode(some.column("text"))):
+                part.add(doc_id, np.append(ids, ending))
         if part:
             part.close()
             yield pa.RecordBatch.from_pydict(
