@@ -4,7 +4,7 @@ For every prefix of a piece there is exactly one token that can be the last of
 the prefix's encoding (the encoding of a prefix that ends where a token of the
 whole ends is that of the whole, cut off). The table of those last tokens is
 the encoder's whole state: following it backwards gives the tokens, appended
-bytes only add entries, and after an edit entries are made again only until
+bytes only add entries, pieces that begin alike share entries, and after an edit entries are made again only until
 they agree with the old ones for as many positions as the longest token has
 bytes. A token may follow another one if merging the two of them would not have
 met across their boundary; that is decided by undoing merges on either side.
@@ -15,8 +15,8 @@ has no tokens. Repeated rows have one result each; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -26,16 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweft.llm.batches import keyed_texts, pieces
+from netweft.llm.parts import Known, encoded, layout, lists_of, sliced
 
 _NONE = -1
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Merges:
     """The vocabulary of a rank file, and how each token arose."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = _ranks(path)
         self.token = {i: t for t, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.left: dict[int, int] = {}
@@ -151,86 +156,114 @@ class PrefixState:
         return out[::-1]
 
 
-def encode_piece(merges: Merges, piece: bytes) -> list[int]:
-    """A piece that is a token is that token; any other is encoded by its prefixes."""
-    whole = merges.ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    usable, sizes, pairs, follows, last = merges.usable.get, merges.sizes.get, merges.pairs.get, merges.follows, [_NONE]
-    for i in range(1, len(piece) + 1):
-        for n in (i > 2 and sizes(piece[i - 3 : i])) or (i > 1 and sizes(piece[i - 2 : i])) or sizes(piece[i - 1 : i], ()):
-            if n < i:
-                t = usable(piece[i - n : i])
-                if t is not None:
-                    known = pairs(last[i - n] << 32 | t)
-                    if known or known is None and follows(last[i - n], t):
+def encode_pieces(merges: Merges, found: list[bytes]) -> list[list[int]]:
+    """The ids of pieces in ascending order. Neighbours share prefixes, whose last tokens are kept.
+
+    A piece that is a token is that token; any other is encoded by its prefixes.
+    """
+    usable, sizes, pairs, follows, token, ranks = merges.usable.get, merges.sizes.get, merges.pairs, merges.follows, merges.token, merges.ranks.get
+    last, before, out = [_NONE], b"", []
+    for piece in found:
+        whole = ranks(piece)
+        if whole is not None:
+            out.append([whole])
+            continue
+        size, same = len(piece), min(len(piece), len(before))
+        if piece[:same] != before[:same]:
+            same = next(k for k in range(same) if piece[k] != before[k])
+        del last[same + 1 :]
+        before = piece
+        for i in range(same + 1, size + 1):
+            for n in (i > 2 and sizes(piece[i - 3 : i])) or (i > 1 and sizes(piece[i - 2 : i])) or sizes(piece[i - 1 : i], ()):
+                if n < i:
+                    t = usable(piece[i - n : i])
+                    if t is not None:
+                        known = pairs.get(last[i - n] << 32 | t)
+                        if known or known is None and follows(last[i - n], t):
+                            break
+                elif n == i:
+                    t = usable(piece[:i])
+                    if t is not None:
                         break
-            elif n == i:
-                t = usable(piece[:i])
-                if t is not None:
-                    break
-        else:
-            raise ValueError("the vocabulary lacks a byte")
-        last.append(t)
-    out, i, token = [], len(piece), merges.token
-    while i:
-        out.append(last[i])
-        i -= len(token[last[i]])
-    return out[::-1]
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(t)
+        ids, i = [], size
+        while i:
+            ids.append(last[i])
+            i -= len(token[last[i]])
+        out.append(ids[::-1])
+    return out
+
+
+def encode_piece(merges: Merges, piece: bytes) -> list[int]:
+    return encode_pieces(merges, [piece])[0]
+
+
+#: Signs that no piece of the default pattern has after a letter or a digit.
+MARKS = b",.;:!?"
 
 
 class Encoder:
-    """Texts to ids. Spans between single blanks are split and encoded once and then looked up."""
-
-    def __init__(self, path: str, pattern: str, held: int = 350_000):
-        self.merges, self.split, self.held = Merges(path), regex.compile(pattern), held
-        self.by_piece: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # spans that begin a line
-        self.later: dict[str, bytes] = {}  # spans after a blank
-        self.newline = self._span("\n")
-
-    def _span(self, text: str) -> bytes:
-        known, out = self.by_piece, []
-        for x in self.split.findall(text):
-            ids = known.get(x)
-            if ids is None:
-                if len(known) >= self.held:
-                    known.clear()
-                ids = known[x] = np.array(encode_piece(self.merges, x.encode()), "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+    """Texts to ids: parts between blanks are split into pieces, and pieces encoded, once and then looked up."""
+
+    def __init__(self, path: str, pattern: str, held: int = 1_000_000):
+        self.path, self.split = path, regex.compile(pattern)
+        self.apart = pattern == public_tokenizers.PATTERN  # of another pattern it isn't known where its pieces end
+        self.pieces, self.parts = Known(self._pieces, held), Known(self._parts, held)
+
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self.path)
+
+    @cached_property
+    def tokens(self) -> tuple[np.ndarray, pa.Array]:
+        """Of which ids there are tokens, and the bytes of all of them by id."""
+        by_id = {i: t for t, i in _ranks(self.path).items()}
+        there = np.zeros(max(by_id) + 1, bool)
+        there[list(by_id)] = True
+        return there, pa.array([by_id.get(i, b"") for i in range(len(there))], pa.large_binary())
+
+    def _pieces(self, found: list[str]) -> pa.LargeListArray:
+        raw = [x.encode() for x in found]
+        order = sorted(range(len(raw)), key=raw.__getitem__)
+        own: list[list[int]] = [[]] * len(raw)
+        for k, ids in zip(order, encode_pieces(self.merges, [raw[k] for k in order])):
+            own[k] = ids
+        return lists_of([i for ids in own for i in ids], list(map(len, own)))
+
+    def _parts(self, texts: list[str]) -> pa.LargeListArray:
+        split = list(map(self.split.findall, texts))
+        lists = self.pieces(pa.array([x for own in split for x in own], pa.large_string()))
+        ends = np.concatenate(([0], np.cumsum(np.array(list(map(len, split)), np.int64))))
+        return pa.LargeListArray.from_arrays(pa.array(lists.offsets.to_numpy()[ends]), lists.flatten())
+
+    def encode_all(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """For each text its ids, little-endian unsigned 32-bit integers; no text is null."""
+        if self.apart:
+            ids, first = encoded(texts, self.parts, MARKS)
+        else:
+            lists = self._parts(texts.to_pylist())
+            ids, first = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        return sliced(ids, first * 4)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        # Blanks and line ends cut pieces in the same places in any text, if each stands alone and no other white space is there.
-        if not text or " ".join(text.split()) != text.replace("\n", " "):
-            return self._span(text)
-        out, first, later = [], self.first, self.later
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self.newline)
-            spans = line.split(" ")
-            head = first.get(spans[0])
-            if head is None:
-                if len(first) >= self.held:
-                    first.clear()
-                head = first[spans[0]] = self._span(spans[0])
-            out.append(head)
-            del spans[0]
-            try:
-                out += list(map(later.__getitem__, spans))
-            except KeyError:
-                if len(later) >= self.held:
-                    later.clear()
-                for x in spans:
-                    if x not in later:
-                        later[x] = self._span(" " + x)
-                out += [later[x] for x in spans]
-        return b"".join(out)
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
+
+    def decode_all(self, ids: pa.Array) -> pa.LargeBinaryArray:
+        """The bytes that each value's ids stand for; null ids are none."""
+        at, data = layout(ids.fill_null(b""))
+        if (at % 4).any():
+            raise ValueError("ids have four bytes each")
+        own, (there, tokens) = np.frombuffer(data, "<u4"), self.tokens
+        if len(own) and (own.max() >= len(there) or not there[own].all()):
+            raise ValueError("an id is not in the vocabulary")
+        taken = tokens.take(pa.array(own, pa.uint32()))
+        ends, out = layout(taken)
+        return sliced(out, ends[at // 4])
 
     def decode(self, ids: bytes) -> bytes:
-        token = self.merges.token
-        return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return self.decode_all(pa.array([ids], pa.binary()))[0].as_py()
 
 
 _made: dict[tuple, Encoder] = {}
@@ -253,8 +286,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for part in pieces(batches):
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([e.encode(x) for x in part.column("text").to_pylist()], pa.binary())], ["key", "ids"])
+        for part in pieces(batches, limit=8 << 20):
+            yield pa.RecordBatch.from_arrays([part.column("key"), e.encode_all(part.column("text")).cast(pa.binary())], ["key", "ids"])
 
     return keyed_texts(docs, key, text).mapInArrow(mapped, "key long, ids binary").withColumnRenamed("key", key)
 
@@ -266,7 +299,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: str
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for part in pieces(batches, "ids"):
-            yield part.append_column("decoded", pa.array([e.decode(x or b"") for x in part.column("ids").to_pylist()], pa.binary()))
+            yield part.append_column("decoded", e.decode_all(part.column("ids")).cast(pa.binary()))
 
     return (
         encoded.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids"))
@@ -288,7 +321,3 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """``encode`` and ``decode`` over whole ``documents``."""
     return encoded_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -10,10 +10,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netweft.llm import byte_bpe, decontamination, jpeg, language, media, minhash, pii, quality, repeats, shingles, token_files, warc
+from netweft.llm import batches, byte_bpe, decontamination, jpeg, language, media, minhash, pii, quality, repeats, shingles, token_files, warc
 from netweft.plans.scratch import new_folder
 from netweft.plans.scratch import stored as plans_stored
 
@@ -120,6 +121,43 @@ def test_bpe_gives_the_library_s_ids(bpe, tiktoken_encoding):
         assert bpe.decode(ids) == t.encode()
 
 
+@pytest.mark.parametrize("held", [3, 1_000_000])
+def test_ids_by_parts_are_those_of_whole_texts(tiktoken_encoding, held):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    alphabet = ["the", "Ing", " ", "  ", "\n", "\n\n", "'s", "é", "日本", "123", "\t", "\x85", "\xa0", "\u2003", "\u2028", "\u205f", "\u3000", "\u1680", "‘x’", ",", ".", "!!", "a,b", "7;", "\x1c", "İ", "e\u0301", "\u0301", "|"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    small = byte_bpe.Encoder(byte_bpe.default_ranks(), public_tokenizers.PATTERN, held)
+    words, library = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), held), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(0, len(texts), 300):
+        some = pa.array(["x", *texts[k : k + 300]]).slice(1)
+        coded = small.encode_all(some)
+        assert [np.frombuffer(x, "<u4").tolist() for x in coded.to_pylist()] == [tiktoken_encoding.encode_ordinary(x) for x in some.to_pylist()]
+        assert small.decode_all(coded).cast(pa.large_string()).to_pylist() == some.to_pylist()
+        assert [x.tolist() for x in words.encode(some)] == [library.encode(x, add_special_tokens=False).ids for x in some.to_pylist()]
+    with pytest.raises(ValueError):
+        small.decode(np.array([1 << 30], "<u4").tobytes())
+
+
+def test_bpe_by_another_pattern_sees_whole_texts(bpe):
+    import tiktoken
+
+    pattern = r"[^!]+|!"
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.merges.ranks, special_tokens={})
+    e = byte_bpe.Encoder(byte_bpe.default_ranks(), pattern)
+    for t in ("two words, a line\nand! more", "", "!!"):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == own.encode_ordinary(t)
+
+
+def test_samples_are_of_distinct_ids(spark):
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, 7, id) AS key", "cast(id AS string) AS text")
+    found = batches.sampled(rows, 50).collect()
+    assert len({r["key"] for r in found}) == len(found) == 50
+    assert [r["key"] for r in found] == [r["key"] for r in batches.sampled(rows.repartition(7), 50).collect()]
+    assert batches.sampled(rows, 5000).count() == rows.select("key").distinct().count()
+
+
 def test_bpe_states_take_appends_and_edits(bpe):
     rng = random.Random(3)
     made = whole = 0
