@@ -9,13 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch; texts are whole, so many of them are large.
+ROWS = 2_000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches have at most ROWS rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_KEY)) <= ROWS:
+        conf.set(_ROWS_KEY, ROWS)
+    return df
+
+
 def keyed_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Just (key long, text string); a null text is empty. All other columns stay behind, whatever their names."""
-    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return bounded(df).select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes of text, so that what is built from a slice stays bounded too."""
+    """The same rows in slices of about ``limit`` bytes of text, so that what is built from a slice stays bounded too.
+
+    A worker waits for other tasks when this one is done, so what Arrow then holds without need is given back.
+    """
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -26,6 +42,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def sampled(rows: DataFrame, n: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import keyed_texts, pieces
+from netweft.llm.batches import bounded, keyed_texts, pieces
 from netweft.llm.shingles import sequence_hashes, word_hashes
 
 #: Bytes of benchmark text that one block may have.
@@ -168,7 +168,7 @@ def without_leaks(
         return mapped
 
     for held in _blocks(benchmark, item, item_text, least):
-        docs = docs.mapInArrow(of(held), docs.schema)
+        docs = bounded(docs).mapInArrow(of(held), docs.schema)
     return docs
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import keyed_texts, pieces
+from netweft.llm.batches import bounded, keyed_texts, pieces
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
@@ -208,7 +208,7 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
             clean = pa.array([redacted(x, threshold) for x in part.column(at).to_pylist()], part.schema.field(at).type)
             yield part.set_column(at, part.schema.field(at), clean)
 
-    return docs.mapInArrow(mapped, docs.schema)
+    return bounded(docs).mapInArrow(mapped, docs.schema)
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

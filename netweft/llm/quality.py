@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import keyed_texts, pieces
+from netweft.llm.batches import bounded, keyed_texts, pieces, sampled
 
 #: Heuristics that vote.
 LABELLERS = 9
@@ -181,12 +181,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     rows = keyed_texts(docs, key, text).where("text <> ''")
     patterns = rows.mapInArrow(_voted, "key long, votes string").groupBy("votes").count().collect()
     model = WeakLabels({r["votes"]: r["count"] for r in sorted(patterns)})
-    # The threshold of the hash is a quantile of ids alone; texts are read for the sample only.
-    hashed = rows.withColumn("h", F.xxhash64("key"))
-    edge = keyed_texts(docs, key, text).select(F.xxhash64("key").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if edge is None:
-        return model, np.zeros(DIMENSIONS, np.float32), 0.0
-    taken = hashed.where(F.col("h") <= edge).orderBy("h", "text").limit(sample).select("key", "text").mapInArrow(_featured, "votes string, row binary").collect()
+    taken = sampled(rows, sample).mapInArrow(_featured, "votes string, row binary").collect()
     x = np.stack([np.frombuffer(r["row"], np.float16) for r in taken]).astype(np.float32) if taken else np.empty((0, DIMENSIONS), np.float32)
     return model, *fit_scorer(x, np.array([model.probability(r["votes"]) for r in taken]))
 
@@ -219,7 +214,7 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", sample:
         for part in pieces(batches, text):
             yield part.filter(pa.array([_quality(x or "", weights, bias) >= threshold for x in part.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(mapped, docs.schema)
+    return bounded(docs).mapInArrow(mapped, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
