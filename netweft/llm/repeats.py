@@ -20,23 +20,28 @@ work is to find windows that occur twice.
    and writes from front to end. A symbol is a block of ``length / 4`` bytes,
    and each stretch is a string for each way of cutting it into blocks, so that
    every byte starts a suffix. Neighbours with four symbols in common are repeats.
+   Symbols are ordered by their 64-bit hashes, not by their bytes: what repeats
+   does not depend on the order. Strings are cut at symbols that occur once.
 
 The rounds of one symbol for each document of the corpus would be as many as
 the longest document has bytes, each over all of what is sorted; here they are
 as many as a stretch has blocks, 7 at most, and over the stretches of some
-anchors only, in tasks that need nothing of each other. An anchor with many
-stretches is sorted in turns of bounded size, since ways of cutting that are
-differently far from the anchor don't mix. One with more than ``most`` different
-stretches isn't sorted in one task: its windows are counted by their hashes
-instead, which Spark deals out by window.
+anchors only, in tasks that need nothing of each other. A round holds its arrays
+in memory; ``SORTED`` bounds them. An anchor with more bytes of stretches is dealt out to
+several tasks by the ways of cutting, counted from the anchor, since equal
+windows are equally far from it, and at last by the block that holds the
+anchor too. One with more than ``most`` different stretches isn't
+sorted: its windows are counted by their hashes instead, exactly, which Spark
+deals out by window.
 
 Documents are known by a digest of their bytes, so null and repeated ids are no
 matter: equal texts have equal results. A null text is empty and keeps nothing;
-an empty table has no rows; other columns are ignored.
+an empty table has no rows; other columns are ignored. A very long text is read
+in segments of 8 MB, and where it repeats a few bytes over and over, a row stands
+for all those stretches.
 """
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
@@ -52,29 +57,40 @@ from netweft.llm.shingles import mixed
 from netweft.plans.scratch import remove, stored
 
 LENGTH = 400
-#: Different stretches of one anchor that a task sorts; suffixes that it sorts at a time.
-MOST, SORTED = 50_000, 600_000
+#: Different stretches that an anchor may have to be sorted; suffixes that a task sorts at a time.
+MOST, SORTED = 200_000, 600_000
 _GRAM, _SYMBOLS, _SEGMENT = 32, 4, 1 << 23
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Of every _GRAM bytes in a row."""
-    h, n = data.astype(np.uint64) + np.uint64(1), 1
-    while n < _GRAM:
-        factor = np.uint64(pow(_MULTIPLIER, n, 1 << 64))
-        h = h[:-n] * factor + h[n:]
+def _hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Of every ``width`` bytes in a row, put together from those of powers of two."""
+    if len(data) < width:
+        return np.empty(0, np.uint64)
+    factor = lambda n: np.uint64(pow(_MULTIPLIER, n, 1 << 64))
+    h, n, out, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if width & n:
+            have = len(data) - done - n + 1
+            out = h if out is None else out[:have] * factor(n) + h[done : done + have]
+            done += n
+        if 2 * n > width:
+            return mixed(out[: len(data) - width + 1])
+        h = h[:-n] * factor(n) + h[n:]
         n *= 2
-    return mixed(h)
 
 
-def stretches(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(anchor hash, first window, windows) of the stretches that a text's windows form; none if it is shorter than a window."""
+def stretches(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """(anchor hash, first window, windows, times) of the stretches that a text's windows form; none if it is shorter than a window.
+
+    times: so many stretches with the same bytes begin one after the other, each where the windows of the one before
+    end; text that repeats a few bytes has no more rows than other text.
+    """
     out = []
     windows = len(data) - length + 1
     for start in range(0, max(0, windows), _SEGMENT):
         some = np.frombuffer(data, np.uint8)[start : start + _SEGMENT + length - 1]
-        h = _gram_hashes(some)
+        h = _hashes(some, _GRAM)
         # 40 bits of the hash and then the place: the smallest is the leftmost of the smallest hashes.
         low, n, wide = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64), 1, length - _GRAM + 1
         while n * 2 <= wide:
@@ -84,8 +100,17 @@ def stretches(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
             low = np.minimum(low[: len(low) - (wide - n)], low[wide - n :])
         at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
         edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-        anchors = h[at[edges[:-1]]].view(np.int64)
-        out += zip(anchors.tolist(), (edges[:-1] + start).tolist(), np.diff(edges).tolist())
+        anchors, first, sizes = h[at[edges[:-1]]].view(np.int64), edges[:-1], np.diff(edges)
+        times = np.ones(len(first), np.int64)
+        like = (anchors[1:] == anchors[:-1]) & (sizes[1:] == sizes[:-1])
+        if like.any():
+            turns = np.flatnonzero(np.diff(np.concatenate(([False], like, [False])).astype(np.int8)))
+            for x, y in zip(turns[::2].tolist(), turns[1::2].tolist()):  # stretches x to y, y included
+                run = some[first[x] : first[y] + sizes[y] + length - 1]
+                if np.array_equal(run[sizes[x] :], run[: -sizes[x]]):
+                    times[x], times[x + 1 : y + 1] = y - x + 1, 0
+        one = times > 0
+        out += zip(anchors[one].tolist(), (first[one] + start).tolist(), sizes[one].tolist(), times[one].tolist())
     return out
 
 
@@ -175,83 +200,99 @@ def sorted_suffixes(symbols: np.ndarray, lengths: np.ndarray, folder: str) -> tu
     return files.get("string", kinds["string"]).astype(np.int64), files.get("size", kinds["size"]).astype(np.int64), files.get("common", "u1")
 
 
-def repeated_starts(texts: list[bytes], length: int = LENGTH, anchors: list[int] | None = None, most: int = SORTED) -> list[np.ndarray]:
-    """For each text, the starts of windows that occur in any of the texts, or in this one, at another place too.
+def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text, the starts of windows that occur in any of the texts, or in this one, at another place too."""
+    block = length // _SYMBOLS
+    whole, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts)), np.int64)
+    h, base = _hashes(whole, block), np.cumsum(sizes) - sizes
+    phase = np.tile(np.arange(block), len(texts))
+    of = np.repeat(np.arange(len(texts)), block)
+    counts = (sizes[of] - phase) // block
+    some = counts >= _SYMBOLS
+    of, phase, counts = of[some], phase[some], counts[some]
+    return _sorted(h[_ranges(base[of] + phase, counts, block)], counts, phase, of, len(texts), block)
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray, step: int) -> np.ndarray:
+    """first, first + step, ... of each, so many as its count says, one after the other."""
+    return np.repeat(first - step * (np.cumsum(counts) - counts), counts) + step * np.arange(counts.sum())
 
-    anchors: a place in each text, if equal windows are equally far from it. The ways of cutting then don't mix, and are
-    sorted in as many turns as keep the suffixes of one under ``most``.
+
+def _sorted(symbols: np.ndarray, counts: np.ndarray, first: np.ndarray, of: np.ndarray, texts: int, block: int) -> list[np.ndarray]:
+    """For each text the starts, in order, of four symbols that the strings have more than once.
+
+    symbols: those of all strings in turn; counts: of each string; first: the place in its text where it begins; of: its text.
+    A symbol that occurs once is in no repeat, so that strings are cut there before they are sorted.
     """
-    block = length // _SYMBOLS
-    turns = 1 if anchors is None else min(block, -(-sum(map(len, texts)) // most) or 1)
-    if turns > 1:
-        cut = [range(k, block, turns) for k in range(turns)]
-        found = [_repeated(texts, length, [[(a + c) % block for c in some] for a in anchors]) for some in cut]
-        return [np.sort(np.concatenate(x)) for x in zip(*found)]
-    return _repeated(texts, length, [range(block)] * len(texts))
-
-
-def _repeated(texts: list[bytes], length: int, phases: list) -> list[np.ndarray]:
-    """Those starts that the given ways of cutting reach: for each text, where its first whole block begins."""
-    block, per = length // _SYMBOLS, len(phases[0]) if phases else 1
-    symbols, lengths = [], []
-    for t, own in zip(texts, phases):
-        data = np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)
-        n = len(data) - block + 1
-        h = np.zeros(max(0, n), np.uint64)
-        for k in range(block):
-            h = h * np.uint64(_MULTIPLIER) + data[k : k + len(h)]
-        h = mixed(h)
-        for p in own:
-            symbols.append(h[p::block])
-            lengths.append(len(symbols[-1]))
-    counts = np.array(lengths, np.int64)
-    _, ranks = np.unique(np.concatenate(symbols) if symbols else np.empty(0, np.uint64), return_inverse=True)
+    _, ranks, times = np.unique(symbols, return_inverse=True, return_counts=True)
+    alive = times[ranks] > 1
+    string = np.repeat(np.arange(len(counts)), counts)
+    apart = (string[1:] != string[:-1]) | ~alive[1:] | ~alive[:-1]
+    begin = np.flatnonzero(alive & np.concatenate(([True], apart))[: len(alive)])
+    lengths = np.flatnonzero(alive & np.concatenate((apart, [True]))[: len(alive)]) + 1 - begin
+    begin, lengths = begin[lengths >= _SYMBOLS], lengths[lengths >= _SYMBOLS]
+    of = of[string[begin]]
+    first = first[string[begin]] + (begin - (np.cumsum(counts) - counts)[string[begin]]) * block
     with tempfile.TemporaryDirectory() as folder:
-        string, size, common = sorted_suffixes(ranks.astype(np.int64), counts, folder)
+        own, size, common = sorted_suffixes(ranks[_ranges(begin, lengths, 1)], lengths, folder)
     alike = common >= _SYMBOLS
     alike[:-1] |= alike[1:]
-    string, size = string[alike], size[alike]
-    starts = (counts[string] - size) * block + np.array([p for own in phases for p in own], np.int64)[string]
-    of = string // per
+    own, size = own[alike], size[alike]
+    starts, of = first[own] + (lengths[own] - size) * block, of[own]
     order = np.lexsort((starts, of))
     of, starts = of[order], starts[order]
-    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+    cuts = np.searchsorted(of, np.arange(texts + 1))
     return [starts[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _phases(size: int, place: int, turn: int, turns: int, block: int) -> list[tuple[int, int]]:
+    """(place of the first block, blocks) of the ways of cutting a stretch that belong to a turn, if they have four blocks.
+
+    Ways of cutting are numbered from the anchor, whose place this is, so that equal windows have theirs in the same turn.
+    """
+    ways = [(place + c) % block for c in range(turn, block, turns)]
+    return [(p, (size - p) // block) for p in ways if (size - p) // block >= _SYMBOLS]
+
+
 def _listed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], []]
         for digest, text in zip(part.column("digest").to_pylist(), part.column("text").to_pylist()):
             data = text.encode()
             found = stretches(data, length)
+            if not found:
+                continue
+            anchors, starts, sizes, times = zip(*found)
             columns[0] += [digest] * len(found)
-            for anchor, start, n in found:
-                columns[1].append(anchor)
-                columns[2].append(xxhash.xxh3_128_digest(data[start : start + n + length - 1]))
-                columns[3].append(start)
-                columns[4].append(n)
-        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["digest", "anchor", "stretch", "start", "n"])
+            columns[1] += anchors
+            columns[2] += [xxhash.xxh3_128_digest(data[start : start + n + length - 1]) for start, n in zip(starts, sizes)]
+            columns[3] += starts
+            columns[4] += sizes
+            columns[5] += times
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["digest", "anchor", "stretch", "start", "n", "run"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the stretches that are asked for."""
+    """The bytes of the stretches that are asked for. Rows of equal texts mostly follow each other; the first will do."""
+    last = None
     for part in pieces(batches):
         rows = []
         for digest, text, asked in zip(*(part.column(x).to_pylist() for x in ("digest", "text", "asked"))):
-            data = text.encode()
-            rows += [x | {"digest": digest, "data": data[x["start"] : x["start"] + x["n"] + length - 1]} for x in asked]
+            if digest != last:
+                data, last = text.encode(), digest
+                rows += [x | {"digest": digest, "data": data[x["start"] : x["start"] + x["n"] + length - 1]} for x in asked]
         yield pa.RecordBatch.from_pylist(rows, _CUT)
 
 
-_CUT = pa.schema([("anchor", pa.int64()), ("stretch", pa.binary()), ("once", pa.bool_()), ("hot", pa.bool_()), ("digest", pa.binary()), ("start", pa.int64()), ("data", pa.binary())])
+_CUT = pa.schema([("anchor", pa.int64()), ("stretch", pa.binary()), ("once", pa.bool_()), ("turns", pa.int32()), ("digest", pa.binary()), ("start", pa.int64()), ("data", pa.binary())])
+_TURNS = pa.schema([("anchor", pa.int64()), ("turn", pa.int32()), ("turns", pa.int32()), ("symbol", pa.int64()), ("stretch", pa.binary()), ("once", pa.bool_()), ("digest", pa.binary()), ("start", pa.int64()), ("size", pa.int64()), ("place", pa.int64()), ("symbols", pa.binary())])
 _SPANS = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _place(data: bytes, anchor: int) -> int:
     """Where a stretch's anchor is: the first place of its hash."""
-    return int(np.flatnonzero(_gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor)[0])
+    return int(np.flatnonzero(_hashes(np.frombuffer(data, np.uint8), _GRAM).view(np.int64) == anchor)[0])
 
 
 def _runs(starts: np.ndarray, base: int, length: int) -> Iterator[tuple[int, int]]:
@@ -262,37 +303,71 @@ def _runs(starts: np.ndarray, base: int, length: int) -> Iterator[tuple[int, int
             yield base + int(starts[a]), base + int(starts[b]) + length
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (anchor, stretch): sorts the suffixes of whole anchors, several at a time."""
-    held: list[dict] = []
-    size = own = 0  # of what is held, and of the last anchor's part of it
+def _span_rows(rows: list[dict], starts: list[np.ndarray], length: int) -> pa.RecordBatch:
+    found = [{"digest": x["digest"], "start": a, "end": b} for x, own in zip(rows, starts) if x["once"] for a, b in _runs(own, x["start"], length)]
+    return pa.RecordBatch.from_pylist(found, _SPANS)
 
-    def solved(rows: list[dict]) -> pa.RecordBatch:
-        out = []
-        # Of one anchor alone, equal windows are equally far from it.
-        places = [_place(x["data"], x["anchor"]) for x in rows] if rows[0]["anchor"] == rows[-1]["anchor"] else None
-        for row, starts in zip(rows, repeated_starts([x["data"] for x in rows], length, places)):
-            if row["once"]:
-                out += [{"digest": row["digest"], "start": a, "end": b} for a, b in _runs(starts, row["start"], length)]
-        return pa.RecordBatch.from_pylist(out, _SPANS)
 
+def _gathered(batches: Iterator[pa.RecordBatch], group: tuple[str, ...], data: str, limit: int) -> Iterator[list[dict]]:
+    """Rows in order of (*group, stretch), each stretch once, in lists that end with a group once they have ``limit`` bytes of ``data``."""
+    held: list[dict] = []
+    size, last, stretch = 0, None, None
     for batch in batches:
         for row in batch.to_pylist():
-            if held and row["anchor"] == held[-1]["anchor"] and row["stretch"] == held[-1]["stretch"]:
+            own = tuple(row[x] for x in group)
+            if own == last and row["stretch"] == stretch:
                 continue
-            if held and row["anchor"] != held[-1]["anchor"]:
-                if size > SORTED:
-                    yield solved(held)
-                    held, size = [], 0
-                own = 0
+            if own != last and size > limit:
+                yield held
+                held, size = [], 0
+            last, stretch = own, row["stretch"]
             held.append(row)
-            size, own = size + len(row["data"]), own + len(row["data"])
-            if own > SORTED and held[0]["anchor"] != row["anchor"]:  # a large anchor stays by itself
-                last = next(k for k in range(len(held) - 1, -1, -1) if held[k]["anchor"] != row["anchor"]) + 1
-                yield solved(held[:last])
-                held, size = held[last:], own
+            size += len(row[data])
     if held:
-        yield solved(held)
+        yield held
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (anchor, stretch): sorts the suffixes of whole anchors, several at a time."""
+    for rows in _gathered(batches, ("anchor",), "data", SORTED):
+        yield _span_rows(rows, repeated_starts([x["data"] for x in rows], length), length)
+
+
+def _turned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch and turn, with the symbols of the turn's ways of cutting.
+
+    symbol: where a turn is one way of cutting, the block that holds the anchor's first byte; equal windows have equal ones.
+    """
+    block = length // _SYMBOLS
+    for part in pieces(batches, "data", 1 << 18):
+        rows = []
+        for x in part.to_pylist():
+            place, size = _place(x["data"], x["anchor"]), len(x["data"])
+            h = _hashes(np.frombuffer(x["data"], np.uint8), block)
+            own = {k: x[k] for k in ("anchor", "turns", "stretch", "once", "digest", "start")} | {"size": size, "place": place}
+            for turn in range(x["turns"]):
+                ways = _phases(size, place, turn, x["turns"], block)
+                symbol = 0
+                if x["turns"] == block and ways:
+                    first, n = ways[0]
+                    if not 0 <= (place - first) // block < n:
+                        continue  # no window of this way of cutting holds the anchor
+                    symbol = int(h[first + (place - first) // block * block].view(np.int64))
+                if ways:
+                    symbols = np.concatenate([h[p : p + n * block : block] for p, n in ways])
+                    rows.append(own | {"turn": turn, "symbol": symbol, "symbols": symbols.tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, _TURNS)
+
+
+def _sorted_turns(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (anchor, turn, symbol, stretch): sorts the suffixes of whole turns, several at a time."""
+    block = length // _SYMBOLS
+    for rows in _gathered(batches, ("anchor", "turn", "symbol"), "symbols", 8 * SORTED):
+        ways = [_phases(x["size"], x["place"], x["turn"], x["turns"], block) for x in rows]
+        of = np.repeat(np.arange(len(rows)), list(map(len, ways)))
+        first, counts = (np.array([w[k] for own in ways for w in own], np.int64) for k in (0, 1))
+        symbols = np.frombuffer(b"".join(x["symbols"] for x in rows), np.uint64)
+        yield _span_rows(rows, _sorted(symbols, counts, first, of, len(rows), block), length)
 
 
 def _windowed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -326,57 +401,70 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> tuple[DataFrame, list[str]]:
-    """(digest, start, end) of covered bytes, overlapping ones not yet joined, of docs (key, text, digest); and the folders in use."""
+    """(digest, start, end) of covered bytes, overlapping ones not yet joined, of docs (key, text, digest); and the folders in use.
+
+    Sums by anchor are tables of their own before they are joined, so that adaptive execution can split an anchor or a
+    text that has many rows.
+    """
+    block = length // _SYMBOLS
     listed, listed_uri = stored(
         docs.where(F.octet_length("text") >= length)
         .select("digest", "text")
-        .mapInArrow(lambda x: _listed(x, length), "digest binary, anchor long, stretch binary, start long, n long"),
+        .mapInArrow(lambda x: _listed(x, length), "digest binary, anchor long, stretch binary, start long, n long, run long"),
         "stretches",
     )
-    shared = (
+    shared, shared_uri = stored(
         listed.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("times"), (F.min("stretch") != F.max("stretch")).alias("differ"))
+        .agg(F.sum("run").alias("times"), (F.min("stretch") != F.max("stretch")).alias("differ"))
         .where("times > 1")
-        .select("anchor", "differ")
+        .select("anchor", "differ"),
+        "anchors",
     )
     occurring, occurring_uri = stored(listed.join(shared, "anchor"), "occurring")
-    remove(docs.sparkSession, listed_uri)
+    remove(docs.sparkSession, listed_uri, shared_uri)
     # Of equal stretches one stands for all.
     distinct, distinct_uri = stored(
         occurring.groupBy("anchor", "stretch")
-        .agg(F.count(F.lit(1)).alias("times"), F.first("differ").alias("differ"), F.min(F.struct("digest", "start", "n")).alias("x"))
+        .agg(F.sum("run").alias("times"), F.first("differ").alias("differ"), F.min(F.struct("digest", "start", "n")).alias("x"))
         .select("anchor", "stretch", "times", "differ", "x.*"),
         "distinct",
     )
     whole = (
         occurring.join(distinct.where("times > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
-        .select("digest", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
+        .select("digest", "start", (F.col("start") + F.col("n") * F.col("run") + (length - 1)).alias("end"))
     )
     mixed_anchors = distinct.where("differ")
-    sizes = mixed_anchors.groupBy("anchor").agg((F.count(F.lit(1)) > most).alias("hot"))
-    asked = (
+    turns = F.least(F.lit(block), F.ceil(F.sum(F.col("n") + (length - 1)) / SORTED))
+    sizes, sizes_uri = stored(
+        mixed_anchors.groupBy("anchor").agg(F.when(F.count(F.lit(1)) > most, 0).otherwise(turns).cast("int").alias("turns")), "sizes"
+    )
+    asked, asked_uri = stored(
         mixed_anchors.join(sizes, "anchor")
         .groupBy("digest")
-        .agg(F.collect_list(F.struct("anchor", "stretch", "start", "n", (F.col("times") == 1).alias("once"), "hot")).alias("asked"))
+        .agg(F.collect_list(F.struct("anchor", "stretch", "start", "n", (F.col("times") == 1).alias("once"), "turns")).alias("asked")),
+        "asked",
     )
     cut, cut_uri = stored(
         docs.select("digest", "text")
         .join(asked, "digest")
-        .mapInArrow(lambda x: _cut(x, length), "anchor long, stretch binary, once boolean, hot boolean, digest binary, start long, data binary"),
+        .mapInArrow(lambda x: _cut(x, length), "anchor long, stretch binary, once boolean, turns int, digest binary, start long, data binary"),
         "cut",
     )
-    by_order = (
-        cut.where("not hot")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "stretch")
-        .mapInArrow(lambda x: _sorted_groups(x, length), "digest binary, start long, end long")
+    spans = "digest binary, start long, end long"
+    by_anchor = cut.where("turns = 1").repartition("anchor").sortWithinPartitions("anchor", "stretch").mapInArrow(lambda x: _sorted_groups(x, length), spans)
+    by_turn = (
+        cut.where("turns > 1")
+        .mapInArrow(lambda x: _turned(x, length), "anchor long, turn int, turns int, symbol long, stretch binary, once boolean, digest binary, start long, size long, place long, symbols binary")
+        .repartition("anchor", "turn", "symbol")
+        .sortWithinPartitions("anchor", "turn", "symbol", "stretch")
+        .mapInArrow(lambda x: _sorted_turns(x, length), spans)
     )
-    windows = cut.where("hot").dropDuplicates(["anchor", "stretch"]).mapInArrow(
+    windows = cut.where("turns = 0").dropDuplicates(["anchor", "stretch"]).mapInArrow(
         lambda x: _windowed(x, length), "window binary, digest binary, at long, once boolean"
     )
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
     by_count = windows.where("once").join(twice, "window", "left_semi").select("digest", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(by_order).unionByName(by_count), [occurring_uri, distinct_uri, cut_uri]
+    return whole.unionByName(by_anchor).unionByName(by_turn).unionByName(by_count), [occurring_uri, distinct_uri, sizes_uri, asked_uri, cut_uri]
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
@@ -406,8 +494,5 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("repeated"),
     )
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

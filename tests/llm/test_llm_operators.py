@@ -354,38 +354,52 @@ def test_repeats_are_those_of_all_windows(spark, most):
     assert got == dict(enumerate(plain_spans([(t or "").encode() for t in texts], 48)))
 
 
-def test_repeats_of_one_anchor_are_the_same_in_turns():
-    rng, core = random.Random(13), b"0123456789XY"
+@pytest.mark.parametrize("turns", [2, 5, 12])
+def test_repeats_of_one_anchor_are_the_same_in_turns(turns):
+    rng, core = random.Random(13), b"0123456789XYabcdefghijklmnopqrst"
     draw = lambda: bytes(rng.choice(b"ab") for _ in range(3)) * rng.randint(0, 12)
-    parts = [(draw()[:36], draw()[:36]) for _ in range(60)]
-    texts = [a + core + b for a, b in parts if len(a) + len(b) >= 36]
+    parts = [(draw()[:16], draw()[:16]) for _ in range(60)]
+    texts = sorted({a + core + b for a, b in parts if len(a) + len(b) >= 16})
     seen = Counter(t[k : k + 48] for t in texts for k in range(len(t) - 47))
     want = [[k for k in range(len(t) - 47) if seen[t[k : k + 48]] > 1] for t in texts]
     assert any(want)
-    for most in (10, 500, 1 << 20):
-        assert [x.tolist() for x in repeats.repeated_starts(texts, 48, [t.index(core) for t in texts], most)] == want
     assert [x.tolist() for x in repeats.repeated_starts(texts, 48)] == want
-
-
-@pytest.mark.parametrize("size", [1, 3000, 1 << 20])
-def test_repeats_large_anchors_stay_by_themselves(monkeypatch, size):
-    import pyarrow as pa
-
+    anchor = int(repeats._hashes(np.frombuffer(core, np.uint8), 32).view(np.int64)[0])
+    rows = [{"anchor": anchor, "stretch": t, "once": True, "turns": turns, "digest": t, "start": 100, "data": t} for t in texts]
+    turned = [r for b in repeats._turned(iter([pa.RecordBatch.from_pylist(rows, repeats._CUT)]), 48) for r in b.to_pylist()]
+    turned.sort(key=lambda r: (r["turn"], r["symbol"], r["stretch"]))
+    assert turns < 12 or len({(r["turn"], r["symbol"]) for r in turned}) > 12
+    got = [r for b in repeats._sorted_turns(iter([pa.RecordBatch.from_pylist(turned[:7], repeats._TURNS), pa.RecordBatch.from_pylist(turned[6:], repeats._TURNS)]), 48) for r in b.to_pylist()]
+    cover = {t: {i for r in got if r["digest"] == t for i in range(r["start"] - 100, r["end"] - 100)} for t in texts}
+    assert cover == {t: {i for k in own for i in range(k, k + 48)} for t, own in zip(texts, want)}
+
+
+@pytest.mark.parametrize("size", [20, 3000])
+def test_repeats_of_large_anchors_are_those_of_all_windows(spark, monkeypatch, size):
     monkeypatch.setattr(repeats, "SORTED", size)
     rng = random.Random(14)
     common = "".join(rng.choice("abcdefgh") for _ in range(700))
-    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) + common[: rng.randint(300, 700)] + str(k) for k in range(12)]
-    rows = {}
-    for k, t in enumerate(texts):
-        for anchor, start, n in repeats.stretches(t.encode(), 48):
-            data = t.encode()[start : start + n + 47]
-            rows.setdefault((anchor, data), []).append({"anchor": anchor, "stretch": data, "once": True, "hot": False, "digest": bytes([k]), "start": start, "data": data})
-    flat = [x | {"once": len(v) == 1} for _, v in sorted(rows.items()) for x in v[:1]]
-    cover = lambda spans, k: {i for d, a, b in spans if d == k for i in range(a, b)}
-    got = [(r["digest"][0], r["start"], r["end"]) for b in repeats._sorted_groups(iter([pa.RecordBatch.from_pylist(flat, repeats._CUT)]), 48) for r in b.to_pylist()]
-    got += [(x["digest"][0], x["start"], x["start"] + len(x["data"])) for v in rows.values() if len(v) > 1 for x in v]
-    for k, (runs, _) in enumerate(plain_spans([t.encode() for t in texts], 48)):
-        assert cover(got, k) == {i for a, b in runs for i in range(a, b)}
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) + common[: rng.randint(300, 700)] + str(k) for k in range(12)] * 2
+    df = spark.createDataFrame([(k, t + str(k // 18)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: ([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in repeats.without_repeats(df, length=48).collect()}
+    assert got == dict(enumerate(plain_spans([(t + str(k // 18)).encode() for k, t in enumerate(texts)], 48)))
+
+
+def test_repeats_hashes_are_the_same_wherever_bytes_stand():
+    data = np.frombuffer(random.Random(15).randbytes(300), np.uint8)
+    for width in (1, 10, 32, 100):
+        h = repeats._hashes(data, width)
+        assert len(h) == 301 - width and all(h[k] == repeats._hashes(data[k : k + width], width)[0] for k in range(0, len(h), 17))
+    assert not len(repeats._hashes(data[:9], 10))
+
+
+def test_repeats_of_a_few_bytes_over_and_over_make_few_rows(spark):
+    assert [x[1:] for x in repeats.stretches(b"x" * 4_000_000)] == [(0, 1, 4_000_000 - 399)]
+    assert len(repeats.stretches(b"start of a line; " * 100_000 + b"ab" * 100_000)) < 40
+    texts = ["x" * 3000, "ab" * 900 + "tail", "y" * 399, "y" * 400, "start of a line; " * 60, "z" * 401, "-" + "x" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: ([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in repeats.without_repeats(df).collect()}
+    assert got == dict(enumerate(plain_spans([t.encode() for t in texts], 400)))
 
 
 def test_repeats_sorted_suffixes_are_in_order():
