@@ -3,14 +3,17 @@
 Likelihood: byte 3-grams under naive Bayes, counted over all labelled
 documents, tempered because neighbouring 3-grams overlap. Declared language
 and address suffix: the probability of what is seen given each language,
-estimated from all rows by what their texts say. Host: a prior whose counts are
-smoothed towards those of the host's domain, which are smoothed towards its
-suffix's, and these towards the corpus, all by grouped aggregation.
-
-The texts are read twice: for the counts and for the likelihoods. What is then
-shuffled are a few numbers for each row, and counts by host, which are summed
-within each task first, so that a host with a third of all rows costs no more
-than the others.
+estimated from all other rows by what their texts say. Host: a prior whose
+counts are smoothed towards those of the host's domain, which are smoothed
+towards its suffix's, and these towards the corpus, all by grouped aggregation.
+A row's own text is taken out of every count before the row uses it, so that it
+speaks once. The language is the most probable one, of equals the first listed.
+
+The texts are read twice: for the counts and for the likelihoods; very long
+ones whole. What is then shuffled are a few numbers for each row, and counts by host,
+which are summed within each task first. The counts are a table of their own
+before they are joined, so that adaptive execution can split a host that has
+a third of all rows.
 
 Null or empty texts have no likelihood of their own and get what the other
 evidence says. A null or odd url has no host or suffix; they share one prior.
@@ -29,20 +32,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import pieces
+from netweft.llm.batches import bounded, pieces
 from netweft.plans.scratch import stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
-#: A text of n 3-grams counts as n * TEMPER independent ones, and as no more than MOST.
-TEMPER, MOST = 0.2, 200.0
+#: A text of n 3-grams counts as n * TEMPER independent ones.
+TEMPER = 0.2
 #: Rows that a host's prior takes from its domain, a domain's from its suffix, and a suffix's from the corpus.
 SMOOTHING = 5.0
 
 # Country suffixes of the languages.
 SUFFIXES = {"at": "de", "ch": "de", "de": "de", "us": "en", "uk": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr", "be": "fr"}
 
-_DECLARED = re.compile(r"<html\b[^>]{0,400}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_TAG = re.compile(r"<html\b([^>]*)", re.I)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def grams(text: str) -> np.ndarray:
@@ -72,6 +76,12 @@ def visible(html: str) -> str:
     return " ".join(out)
 
 
+def declared_language(html: str) -> str:
+    """What the first tag of the page that has it says, in lower case; empty if none does."""
+    found = (_DECLARED.search(x[1]) for x in _TAG.finditer(html))
+    return next((m[1].lower() for m in found if m), "")
+
+
 def address(url: str | None) -> tuple[str, str, str]:
     """(host, domain, suffix) of a url in lower case; empty where there is none."""
     try:
@@ -97,7 +107,7 @@ def _counted(batches: Iterator[pa.RecordBatch], languages: tuple[str, ...]) -> I
 
 def likelihoods(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang") -> np.ndarray:
     """Log-probabilities of each bucket under each language, from all labelled rows; as many numbers as languages times BUCKETS."""
-    rows = labelled.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    rows = bounded(labelled).select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     counts = np.full((len(languages), BUCKETS), 0.5)
     for r in rows.mapInArrow(lambda x: _counted(x, languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"], r["bucket"]] += r["n"]
@@ -108,12 +118,9 @@ def _seen(batches: Iterator[pa.RecordBatch], table: np.ndarray, markup: bool) ->
     for part in pieces(batches):
         logs, declared, places = [], [], []
         for url, text in zip(part.column("url").to_pylist(), part.column("text").to_pylist()):
-            m = _DECLARED.search(text) if markup else None
-            declared.append(m[1].lower() if m else "")
+            declared.append(declared_language(text) if markup else "")
             g = grams(visible(text) if markup else text)
-            weight = min(MOST, TEMPER * len(g)) / max(1, len(g))
-            total = table @ np.bincount(g, minlength=BUCKETS) if len(g) else np.zeros(len(table))
-            logs.append((total * weight).tolist())
+            logs.append((TEMPER * (table @ np.bincount(g, minlength=BUCKETS)) if len(g) else np.zeros(len(table))).tolist())
             places.append(address(url) if markup else (url or "", "", ""))
         yield pa.RecordBatch.from_arrays(
             [part.column("key"), pa.array(logs, pa.list_(pa.float64())), pa.array(declared), *(pa.array(x, pa.string()) for x in (zip(*places) if places else ((), (), ())))],
@@ -123,7 +130,7 @@ def _seen(batches: Iterator[pa.RecordBatch], table: np.ndarray, markup: bool) ->
 
 def evidence(rows: DataFrame, key: str, text: str, url: str | None, table: np.ndarray, markup: bool) -> DataFrame:
     """(key, logs, declared, host, domain, suffix). markup: the text is a page and ``url`` its address; else ``url`` names a host as it is."""
-    held = rows.sparkSession.sparkContext.broadcast(table)
+    held = bounded(rows).sparkSession.sparkContext.broadcast(table)
     named = F.col(f"`{url}`").cast("string") if url else F.lit(None).cast("string")
     return rows.select(
         F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), named.alias("url")
@@ -138,42 +145,43 @@ def fused(found: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame
     known = [*languages, ""]
     rows = found.select(
         "*",
-        share(soft(F.col("logs"))).alias("by_text"),
+        share(soft(F.col("logs"))).alias("own"),
         F.when(F.col("declared").isin(known), F.col("declared")).otherwise("other").alias("said"),
         F.coalesce(*(F.when(F.col("suffix") == s, F.lit(x)) for s, x in SUFFIXES.items()), F.lit("")).alias("country"),
     )
-    sums = [F.sum(F.col("by_text")[i]).alias(f"s{i}") for i in index]
-
-    def by(*columns: str) -> DataFrame:
-        return rows.groupBy(*columns).agg(*sums)
-
+    sums = [F.sum(F.col("own")[i]).alias(f"s{i}") for i in index]
     total = [float(x or 0) for x in rows.agg(*sums).first()]
-    overall = [(x + 1) / (sum(total) + n) for x in total]
+    # Of the counts, what the others leave: rounding may take a little too much away.
+    others = lambda count, i: F.greatest(count - F.col("own")[i], F.lit(0.0))
 
-    def given(column: str, values: list[str]) -> Column:
+    def given(column: str, values: list[str]) -> list[Column]:
         """Log-probabilities, by language, of what the row has in ``column``; as many counts as values times languages."""
-        seen = {r[column]: [r[f"s{i}"] for i in index] for r in by(column).collect()}
-        of = {v: [(seen.get(v, [0.0] * n)[i] + 1) / (total[i] + len(values)) for i in index] for v in values}
-        out = F.array(*(F.lit(0.0) for _ in index))
+        seen = {r[column]: [float(r[f"s{i}"]) for i in index] for r in rows.groupBy(column).agg(*sums).collect()}
+        counts = F.array(*(F.lit(0.0) for _ in index))
         for v in values:
-            out = F.when(F.col(column) == v, F.array(*(F.lit(math.log(x)) for x in of[v]))).otherwise(out)
-        return out
+            counts = F.when(F.col(column) == v, F.array(*(F.lit(x) for x in seen.get(v, [0.0] * n)))).otherwise(counts)
+        return [F.log((others(counts[i], i) + 1) / (others(F.lit(total[i]), i) + len(values))) for i in index]
 
     said, country = given("said", [*known, "other"]), given("country", ["", *sorted(set(SUFFIXES.values()))])
-    counts, _ = stored(by("host", "domain", "suffix"), "hosts")
+    counts, _ = stored(rows.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
     level = lambda column: counts.groupBy(column).agg(*(F.sum(f"s{i}").alias(f"{column}{i}") for i in index))
-
-    def smooth(own: str, above: list[Column]) -> list[Column]:
-        size = sum((F.col(f"{own}{i}") for i in index), F.lit(0.0))
-        return [(F.col(f"{own}{i}") + SMOOTHING * above[i]) / (size + SMOOTHING) for i in index]
-
-    prior = smooth("s", smooth("domain", smooth("suffix", [F.lit(x) for x in overall])))
-    priors = (
-        counts.join(level("domain"), "domain").join(level("suffix"), "suffix").select("host", "domain", "suffix", F.array(*(F.log(p) for p in prior)).alias("prior"))
+    array = lambda name: F.array(*(F.col(f"{name}{i}") for i in index)).alias(f"{name}_counts")
+    levels, _ = stored(
+        counts.join(level("domain"), "domain").join(level("suffix"), "suffix").select("host", "domain", "suffix", array("s"), array("domain"), array("suffix")), "levels"
     )
-    logs = F.expr("transform(sequence(0, size(logs) - 1), i -> logs[i] + prior[i] + said_logs[i] + country_logs[i])")
-    weights = rows.withColumns({"said_logs": said, "country_logs": country}).join(priors, ["host", "domain", "suffix"])
-    weights = weights.withColumn("posterior", share(soft(logs)))
+
+    def smooth(name: str, above: list[Column]) -> list[Column]:
+        own = [others(F.col(f"{name}_counts")[i], i) for i in index]
+        return [(own[i] + SMOOTHING * above[i]) / (sum(own, F.lit(0.0)) + SMOOTHING) for i in index]
+
+    overall = [(others(F.lit(total[i]), i) + 1) / (sum((others(F.lit(total[j]), j) for j in index), F.lit(0.0)) + n) for i in index]
+    joined = rows.join(levels, ["host", "domain", "suffix"])
+    # One level after the other is a column, or else its expression would be repeated for each language above it.
+    for name, above in (("suffix", overall), ("domain", None), ("s", None)):
+        above = above or [F.col("above")[i] for i in index]
+        joined = joined.withColumn("above", F.array(*smooth(name, above)))
+    logs = F.array(*(F.col("logs")[i] + F.log(F.col("above")[i]) + said[i] + country[i] for i in index))
+    weights = joined.withColumn("posterior", share(soft(logs)))
     best = F.array_max("posterior")
     names = F.array(*(F.lit(x) for x in languages))
     return weights.select("key", F.element_at(names, F.array_position("posterior", best).cast("int")).alias("lang"), F.round(best, 6).alias("probability"), "declared", "host")

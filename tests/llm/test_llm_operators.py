@@ -637,18 +637,25 @@ def plain_tiles(a, b, least):
                 if n > best[0]:
                     best = (n, i, j)
         if best[0] < least:
-            return sum(out)
+            return out
         n, i, j = best
         free_a[i : i + n] = free_b[j : j + n] = [False] * n
-        out.append(n)
+        out.append((i, j, n))
 
 
-def test_tiles_are_about_as_many_as_by_definition():
+@pytest.mark.parametrize("letters", [1, 2, 4, 9])
+def test_tiles_are_those_of_the_definition(letters):
     rng = np.random.default_rng(11)
-    for _ in range(100):
-        a, b = (rng.integers(0, 4, rng.integers(0, 60)).astype(np.uint64) for _ in range(2))
-        got, want = sum(n for _, _, n in decontamination.tiles(a, b, 3)), plain_tiles(a.tolist(), b.tolist(), 3)
-        assert abs(got - want) <= 0.25 * max(len(a), 1)
+    for _ in range(60):
+        a, b = (rng.integers(0, letters, rng.integers(0, 60)).astype(np.uint64) for _ in range(2))
+        if rng.random() < 0.5:
+            b = np.concatenate([a[10:40], b[:8], a[:25]])
+        assert decontamination.tiles(a, b, 3) == plain_tiles(a.tolist(), b.tolist(), 3)
+
+
+def test_tiles_of_one_word_over_and_over_take_a_while_at_most():
+    a, b = np.full(20_000, 7, np.uint64), np.full(500, 7, np.uint64)
+    assert decontamination.tiles(a, b, 5) == [(0, 0, 500)]
 
 
 def test_decontamination_finds_passages_and_leaves_others(spark, odd, nothing):
@@ -668,6 +675,7 @@ def test_decontamination_in_blocks_is_the_same(spark, data, monkeypatch):
     whole = sorted(map(tuple, decontamination.contaminated(docs, bench).select("doc_id", "contaminated", "coverage").collect()))
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
     assert sorted(map(tuple, decontamination.contaminated(docs, bench).select("doc_id", "contaminated", "coverage").collect())) == whole
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()) == [i for i, leaks, _ in whole if not leaks]
 
 
 # --- language
@@ -695,6 +703,57 @@ def test_language_by_other_evidence_where_there_is_no_text(spark, data):
     assert language.address("https://User@WWW.Example.CO.uk:80/x") == ("www.example.co.uk", "co.uk", "uk")
 
 
+def plain_fusion(rows, languages):
+    """Posteriors of (logs, declared, host, domain, suffix) by summing over all other rows."""
+    n = len(languages)
+    own = [np.exp(np.array(r[0]) - max(r[0])) for r in rows]
+    own = [x / x.sum() for x in own]
+    said = [r[1] if r[1] in (*languages, "") else "other" for r in rows]
+    country = [language.SUFFIXES.get(r[4], "") for r in rows]
+    out = []
+    for k, r in enumerate(rows):
+        rest = [i for i in range(len(rows)) if i != k]
+        total = lambda same: sum((own[i] for i in rest if same(i)), np.zeros(n))  # noqa: B023, E731
+        all_rows = total(lambda i: True)
+        p = (all_rows + 1) / (all_rows.sum() + n)
+        for same in (lambda i: rows[i][4] == r[4], lambda i: rows[i][3] == r[3], lambda i: rows[i][2:] == r[2:]):  # noqa: B023
+            p = (total(same) + language.SMOOTHING * p) / (total(same).sum() + language.SMOOTHING)
+        logs = np.array(r[0]) + np.log(p)
+        logs += np.log((total(lambda i: said[i] == said[k]) + 1) / (all_rows + n + 2))  # noqa: B023
+        logs += np.log((total(lambda i: country[i] == country[k]) + 1) / (all_rows + 1 + len(set(language.SUFFIXES.values()))))  # noqa: B023
+        e = np.exp(logs - logs.max())
+        out.append(e / e.sum())
+    return out
+
+
+def test_language_is_fused_as_by_summing_over_all_other_rows(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):
+        domain, suffix = rng.choice([("a.de", "de"), ("b.de", "de"), ("c.fr", "fr"), ("d.org", "org"), ("", "")])
+        host = f"{rng.choice(['www', 'm'])}.{domain}" if domain else ""
+        rows.append(([rng.uniform(-3, 0) for _ in language.LANGUAGES], rng.choice(["", "de", "fr", "xx"]), host, domain, suffix))
+    rows.append(([-1.0, -1.0, -1.0, -1.0], "", "alone.example", "alone.example", "example"))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "key long, logs array<double>, declared string, host string, domain string, suffix string")
+    got = {r["key"]: (r["lang"], r["probability"]) for r in language.fused(df).collect()}
+    for k, p in enumerate(plain_fusion(rows, language.LANGUAGES)):
+        assert got[k][0] == language.LANGUAGES[int(p.argmax())] and abs(got[k][1] - p.max()) < 2e-6
+
+
+def test_language_of_documents_that_trained_nothing(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) >= 200").withColumn("url", F.lit(None).cast("string"))
+    table = language.likelihoods(docs.where("doc_id % 2 = 0"))
+    found = language.fused(language.evidence(docs.where("doc_id % 2 = 1"), "doc_id", "text", "url", table, False))
+    both = docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("said_lang")).join(found, "key").where(F.col("said_lang").isin(list(language.LANGUAGES)))
+    share, n = both.agg(F.avg((F.col("said_lang") == F.col("lang")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 30 and share > 0.9
+
+
+def test_language_is_declared_wherever_the_tag_says_it():
+    assert language.declared_language("<p><HTML data-x='" + "y" * 5000 + "' lang = 'DE-at'>") == "de"
+    assert language.declared_language("<html><html lang=fr>") == "fr" and language.declared_language("<html " + "lang " * 50_000) == ""
+
+
 def test_language_on_odd_rows(spark, odd, nothing):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert language.identify(odd, pages).count() == odd.count()
