@@ -34,17 +34,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     return least.select(F.col("m_node").alias("a"), F.col("m").alias("b")).unionByName(moved).distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> tuple[DataFrame, str]:
     """Smallest reachable id for each linked node.
 
-    links: any two integer columns, in any direction; self-links, repeats and
+    links: any two columns of integers of that ``kind``, in any direction; self-links, repeats and
     rows with a null end are ignored. Returns a table (node, component) of the
     nodes that are linked to another one and are not the smallest of their
     component themselves, and the folder that holds it. Nodes that are absent
     are their own component. An empty input gives an empty table.
     """
     spark = links.sparkSession
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    x, y = F.col(a).cast(kind), F.col(b).cast(kind)
     now, uri = stored(
         links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(),
         "links",

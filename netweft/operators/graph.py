@@ -74,14 +74,15 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(t, node, component): the smallest node reachable in the snapshot. Nodes of different snapshots are apart."""
-    shift = 1 << 40  # node ids stay below it
-    key = lambda c: F.col("t").cast("long") * shift + F.col(c)
-    found, _ = connected_components(edges.select(key("src").alias("a"), key("dst").alias("b")))
+    wide = "decimal(38,0)"
+    base = (F.col("t").cast(wide) * F.lit(1 << 32).cast("decimal(11,0)")).cast(wide) * F.lit(1 << 32).cast("decimal(11,0)")  # snapshots are 2 ** 64 apart
+    key = lambda c: (base.cast(wide) + F.col(c).cast("decimal(20,0)")).cast(wide)
+    found, _ = connected_components(edges.select(key("src").alias("a"), key("dst").alias("b")), kind=wide)
     return (
         presence(edges)
         .withColumn("key", key("node"))
         .join(found.withColumnRenamed("node", "k"), F.col("key") == F.col("k"), "left")
-        .select("t", "node", F.coalesce(F.pmod("component", F.lit(shift)), "node").alias("component"))
+        .select("t", "node", F.coalesce((F.col("component") - F.col("key") + F.col("node")).cast("long"), F.col("node").cast("long")).alias("component"))
     )
 
 
