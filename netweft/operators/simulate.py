@@ -73,32 +73,63 @@ def planted_edges(labels: DataFrame, beta: Sequence[Sequence[float]], directed:
     return edges.select("t", "src", "dst", F.lit(1.0).alias("w"))
 
 
+def poisson_cdf(rate: float, least: int = 0) -> tuple[int, list[float]]:
+    """(first, cumulated shares) of the counts from ``least`` on that have a share of 1e-18 of the most probable one at
+    least. Shares come from logarithms, so that no rate is too large for them."""
+    log = lambda k: k * math.log(rate) - rate - math.lgamma(k + 1) if rate > 0 else (0.0 if k == 0 else -math.inf)
+    low = high = top = max(least, math.floor(rate))
+    while low > least and log(low - 1) - log(top) > math.log(1e-18):
+        low -= 1
+    while log(high + 1) - log(top) > math.log(1e-18):
+        high += 1
+    shares = [math.exp(log(k) - log(top)) if rate > 0 else 1.0 for k in range(low, high + 1)]
+    total = math.fsum(shares)
+    return low, [math.fsum(shares[: k + 1]) / total for k in range(len(shares))]
+
+
+def _poisson(u: Column, rate: float, least: int = 0) -> Column:
+    """A count from a uniform number, by inversion."""
+    first, cdf = poisson_cdf(rate, least)
+    return F.least(F.size(F.filter(F.array(*(F.lit(c) for c in cdf)), lambda c: c <= u)), F.lit(len(cdf) - 1)) + first
+
+
 def truncated_poisson_weights(edges: DataFrame, rate: float, seed: int = 2) -> DataFrame:
-    """Weights of 1 and more with a Poisson distribution without 0, by inversion."""
-    tail, p, total = [], math.exp(-rate), 0.0
-    for k in range(1, 200):
-        p *= rate / k
-        total += p
-        tail.append(total)
-        if p < 1e-15 * max(total, 1e-300):
-            break
-    u = uniform("t", "src", "dst", seed=seed)
-    out = F.lit(len(tail))
-    for k in range(len(tail) - 2, -1, -1):
-        out = F.when(u < tail[k] / total, F.lit(k + 1)).otherwise(out)
-    return edges.withColumn("w", out.cast("double"))
+    """Weights of 1 and more with a Poisson distribution without 0."""
+    return edges.withColumn("w", _poisson(uniform("t", "src", "dst", seed=seed), rate, 1).cast("double"))
 
 
 def poisson_metadata(labels: DataFrame, rates: Sequence[float], seed: int = 3) -> DataFrame:
-    """(node, t, x): counts with the group's rate, by inversion over as many values as the largest rate needs."""
-    top, u, out = int(max(rates) + 12 * math.sqrt(max(rates)) + 12), uniform("node", "t", seed=seed), F.lit(0)
+    """(node, t, x): counts with the group's rate."""
+    u, out = uniform("node", "t", seed=seed), F.lit(0)
     for g, rate in enumerate(rates):
-        cdf, p, total = [], math.exp(-rate), 0.0
-        for k in range(top):
-            total += p
-            cdf.append(total)
-            p *= rate / (k + 1)
-        value = F.size(F.filter(F.array(*(F.lit(c) for c in cdf)), lambda c: c <= u))
+        out = F.when(F.col("q") == g, _poisson(u, rate)).otherwise(out)
+    return labels.select("node", "t", F.array(out.cast("double")).alias("x"))
+
+
+def normal_metadata(labels: DataFrame, means: Sequence[float], deviations: Sequence[float], seed: int = 7) -> DataFrame:
+    """(node, t, x): normal values with the group's mean and standard deviation, from two uniform numbers."""
+    u, v = uniform("node", "t", seed=seed), uniform("t", "node", seed=seed + 1)
+    z, out = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v), F.lit(0.0)
+    for g, (mean, deviation) in enumerate(zip(means, deviations)):
+        out = F.when(F.col("q") == g, F.lit(float(mean)) + F.lit(float(deviation)) * z).otherwise(out)
+    return labels.select("node", "t", F.array(out).alias("x"))
+
+
+def negative_binomial_metadata(labels: DataFrame, successes: Sequence[float], chances: Sequence[float], seed: int = 9) -> DataFrame:
+    """(node, t, x): counts of failures before the group's number of successes, which need not be whole, each with its chance."""
+    u, out = uniform("node", "t", seed=seed), F.lit(0)
+    for g, (r, p) in enumerate(zip(successes, chances)):
+        if not (r > 0 and 0 < p <= 1):
+            raise ValueError("successes must be positive and chances above 0 and at most 1")
+        log = lambda k: math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1) + r * math.log(p) + (k * math.log1p(-p) if k else 0.0)  # noqa: B023, E731
+        shares, total = [], 0.0
+        while total < 1 - 1e-12 and (p < 1 or not shares):
+            shares.append(math.exp(log(len(shares))))
+            total += shares[-1]
+            if len(shares) > r * (1 - p) / p and shares[-1] < 1e-18:
+                break
+        cdf = [math.fsum(shares[: k + 1]) for k in range(len(shares))]
+        value = F.least(F.size(F.filter(F.array(*(F.lit(c) for c in cdf)), lambda c: c <= u)), F.lit(len(cdf) - 1))
         out = F.when(F.col("q") == g, value).otherwise(out)
     return labels.select("node", "t", F.array(out.cast("double")).alias("x"))
 
