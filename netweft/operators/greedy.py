@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweft.functions import formulas as X
 from netweft.functions.formulas import xlogx
 from netweft.operators import partition
 
@@ -11,41 +12,27 @@ from netweft.operators import partition
 def edge_gain(edges: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
     """(node, t, q, r, gain) under the degree-corrected model; edges both ways, without self-loops.
 
-    Sums over the other groups are taken once for each pair (node, group) that has an edge, since terms without one cancel.
+    A node's weights to the groups are one row, and so are a snapshot's weights between the groups, which are their sums;
+    so the edges are joined with the labels once, and everything else is arithmetic within a row.
     """
-    m = partition.block_edge_counts(edges, labels).withColumn("m", F.col("m").cast("double"))
-    kappa = m.groupBy("t", "q").agg(F.sum("m").alias("kappa"))
-    k = (
+    g = range(groups)
+    near = (
         edges.join(labels.select(F.col("node").alias("dst"), "t", F.col("q").alias("s")), ["dst", "t"])
-        .groupBy(F.col("src").alias("node"), "t", "s")
-        .agg(F.sum("w").cast("double").alias("k"))
+        .groupBy(F.col("src").alias("node"), "t")
+        .agg(*(F.sum(F.when(F.col("s") == i, F.col("w")).otherwise(0.0)).cast("double").alias(f"k{i}") for i in g))
     )
-    own = k.groupBy("node", "t").agg(F.sum("k").alias("k_i")).join(labels, ["node", "t"])
-    moves = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where("r <> q")
-    cell = lambda a, b, name: m.select("t", F.col("q").alias(a), F.col("r").alias(b), F.col("m").alias(name))
-    others = (
-        moves.join(k, ["node", "t"])
-        .where("s <> q and s <> r")
-        .join(F.broadcast(cell("q", "s", "m_qs")), ["t", "q", "s"], "left")
-        .join(F.broadcast(cell("r", "s", "m_rs")), ["t", "r", "s"], "left")
-        .na.fill(0.0, ["m_qs", "m_rs"])
-        .groupBy("node", "t", "r")
-        .agg(F.sum(F.expr(f"2 * (({_x('(m_qs - k)')}) - ({_x('m_qs')}) + ({_x('(m_rs + k)')}) - ({_x('m_rs')}))")).alias("rest"))
-    )
-    at = lambda g, name: k.select("node", "t", F.col("s").alias(g), F.col("k").alias(name))
-    size = lambda g, name: kappa.select("t", F.col("q").alias(g), F.col("kappa").alias(name))
-    rows = (
-        moves.join(others, ["node", "t", "r"], "left")
-        .join(at("q", "k_q"), ["node", "t", "q"], "left")
-        .join(at("r", "k_r"), ["node", "t", "r"], "left")
-        .join(F.broadcast(cell("q", "r", "m_qr")), ["t", "q", "r"], "left")
-        .join(F.broadcast(m.where("q = r").select("t", "q", F.col("m").alias("m_qq"))), ["t", "q"], "left")
-        .join(F.broadcast(m.where("q = r").select("t", "r", F.col("m").alias("m_rr"))), ["t", "r"], "left")
-        .join(F.broadcast(size("q", "kappa_q")), ["t", "q"], "left")
-        .join(F.broadcast(size("r", "kappa_r")), ["t", "r"], "left")
-        .na.fill(0.0, ["rest", "k_q", "k_r", "m_qr", "m_qq", "m_rr", "kappa_q", "kappa_r"])
-    )
-    return rows.select("node", "t", "q", "r", F.expr(edge_gain_formula()).alias("gain"))
+    rows = near.join(labels, ["node", "t"])
+    cells = (F.coalesce(F.sum(F.when(F.col("q") == i, F.col(f"k{j}"))), F.lit(0.0)) for i in g for j in g)
+    between = rows.groupBy("t").agg(F.array(*cells).alias("m"))  # a row for each snapshot
+    moves = rows.join(F.broadcast(between), "t").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where("r <> q")
+    known = moves.select("node", "t", "q", "r", F.array(*(f"k{i}" for i in g)).alias("k"), *(F.expr(f"slice(m, {x} * {groups} + 1, {groups})").alias(f"m_{x}") for x in "qr"))
+    other = lambda s: f"({_x(f'(m_q[{s}] - k[{s}])')}) - ({_x(f'm_q[{s}]')}) + ({_x(f'(m_r[{s}] + k[{s}])')}) - ({_x(f'm_r[{s}]')})"
+    total = lambda x: X.add([f"{x}[{i}]" for i in g])
+    named = {
+        "rest": X.add([f"CASE WHEN q = {s} OR r = {s} THEN CAST(0 AS DOUBLE) ELSE 2 * ({other(s)}) END" for s in g]),
+        "m_qr": "m_q[r]", "m_qq": "m_q[q]", "m_rr": "m_r[r]", "k_q": "k[q]", "k_r": "k[r]", "k_i": total("k"), "kappa_q": total("m_q"), "kappa_r": total("m_r"),
+    }
+    return known.select("node", "t", "q", "r", *(F.expr(e).alias(c) for c, e in named.items())).select("node", "t", "q", "r", F.expr(edge_gain_formula()).alias("gain"))
 
 
 def _x(x: str) -> str:

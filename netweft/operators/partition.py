@@ -51,25 +51,22 @@ def contingency(true: DataFrame, pred: DataFrame) -> DataFrame:
     return true.join(pred.withColumnRenamed("q", "r"), ["node", "t"]).groupBy("t", "q", "r").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _choose2(c: str):
-    return F.col(c) * (F.col(c) - 1) / 2
-
-
-def _margins(table: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = table.groupBy(*by, "q").agg(F.sum("n").alias("a"))
-    return rows, table.groupBy(*by, "r").agg(F.sum("n").alias("b")), table.groupBy(*by).agg(F.sum("n").alias("total"))
+def _with_margins(table: DataFrame, by: str) -> DataFrame:
+    """Cells n with the sums a of their true and b of their predicted label, and the total. Cells are few; they are dealt out once."""
+    over = lambda *keys: F.sum("n").over(W.partitionBy(by, *keys))
+    return table.repartition(by).select(by, "n", over("q").alias("a"), over("r").alias("b"), over().alias("total"))
 
 
 def ari_by_time(table: DataFrame, by: str = "t") -> DataFrame:
     """(t, ari) of a contingency table; 1 where neither partition splits anything or both split everything."""
-    rows, columns, totals = _margins(table, [by])
+    n = F.col("n")
+    pairs = lambda of: F.sum(n * (F.col(of) - 1) / 2)  # noqa: E731  # over the cells of a label, that is a * (a - 1) / 2
     return (
-        table.groupBy(by)
-        .agg(F.sum(_choose2("n")).alias("s"))
-        .join(rows.groupBy(by).agg(F.sum(_choose2("a")).alias("sa")), by)
-        .join(columns.groupBy(by).agg(F.sum(_choose2("b")).alias("sb")), by)
-        .join(totals, by)
-        .withColumn("expected", F.when(F.col("total") > 1, F.col("sa") * F.col("sb") / F.nullif(_choose2("total"), F.lit(0.0))).otherwise(0.0))
+        _with_margins(table, by)
+        .groupBy(by)
+        .agg(pairs("n").alias("s"), pairs("a").alias("sa"), pairs("b").alias("sb"), F.first("total").alias("total"))
+        .withColumn("all", F.col("total") * (F.col("total") - 1) / 2)
+        .withColumn("expected", F.when(F.col("total") > 1, F.col("sa") * F.col("sb") / F.nullif(F.col("all"), F.lit(0.0))).otherwise(0.0))
         .withColumn("top", (F.col("sa") + F.col("sb")) / 2)
         .select(by, F.when(F.col("top") == F.col("expected"), 1.0).otherwise((F.col("s") - F.col("expected")) / F.nullif(F.col("top") - F.col("expected"), F.lit(0.0))).alias("ari"))
     )
@@ -77,16 +74,16 @@ def ari_by_time(table: DataFrame, by: str = "t") -> DataFrame:
 
 def mutual_information(table: DataFrame, by: str = "t") -> DataFrame:
     """(t, mi, h_true, h_pred, nmi): natural logs; nmi divides by the mean entropy and is 1 where that is 0."""
-    rows, columns, totals = _margins(table, [by])
-    entropy = lambda df, c, out: df.join(totals, by).groupBy(by).agg(F.sum(-F.col(c) / F.col("total") * F.log(F.col(c) / F.col("total"))).alias(out))
-    mi = (
-        table.join(rows, [by, "q"])
-        .join(columns, [by, "r"])
-        .join(totals, by)
+    share, total = F.col("n") / F.col("total"), F.col("total")
+    both = (
+        _with_margins(table, by)
         .groupBy(by)
-        .agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("total") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
+        .agg(
+            F.sum(share * F.log(total * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"),
+            F.sum(-share * F.log(F.col("a") / total)).alias("h_true"),
+            F.sum(-share * F.log(F.col("b") / total)).alias("h_pred"),
+        )
     )
-    both = mi.join(entropy(rows, "a", "h_true"), by).join(entropy(columns, "b", "h_pred"), by)
     mean = (F.col("h_true") + F.col("h_pred")) / 2
     return both.withColumn("nmi", F.when(mean > 0, F.col("mi") / F.nullif(mean, F.lit(0.0))).otherwise(1.0))
 

@@ -74,6 +74,7 @@ def net_density(s, d):
 
 
 @query
+@T.each_once
 def net_missing_nodes(s, d):
     return graph.missing_nodes(T.present(s, d))
 
@@ -94,16 +95,19 @@ def group_sizes(s, d):
 
 
 @query
+@T.each_once
 def group_degrees(s, d):
     return partition.group_degrees(graph.degrees(T.edges(s, d)), T.labels(s, d))
 
 
 @query
+@T.each_once
 def block_edge_counts(s, d):
     return partition.block_edge_counts(T.edges(s, d), T.labels(s, d))
 
 
 @query
+@T.each_once
 def effective_beta(s, d):
     return rounded(partition.effective_beta(T.symmetric(s, d), T.labels(s, d)), "beta", digits=9)
 
@@ -119,6 +123,7 @@ def majority_label(s, d):
 
 
 @query
+@T.each_once
 def induced_subgraph(s, d):
     return graph.induced_subgraph(T.edges(s, d), T.labels(s, d).where("q = 1"))
 
@@ -128,26 +133,31 @@ def _contingency(s, d):
 
 
 @query
+@T.each_once
 def contingency(s, d):
     return _contingency(s, d)
 
 
 @query
+@T.each_once
 def ari_by_time(s, d):
     return rounded(partition.ari_by_time(_contingency(s, d)), "ari")
 
 
 @query
+@T.each_once
 def mutual_information(s, d):
     return rounded(partition.mutual_information(_contingency(s, d)).select("t", "mi"), "mi")
 
 
 @query
+@T.each_once
 def nmi_by_time(s, d):
     return rounded(partition.mutual_information(_contingency(s, d)).select("t", "nmi"), "nmi")
 
 
 @query
+@T.each_once
 def max_overlap(s, d):
     return rounded(partition.max_overlap(_contingency(s, d), Q), "overlap")
 
@@ -216,6 +226,7 @@ def beta_noninformative_init(s, d):
 
 
 @query
+@T.each_once
 def beta_planted_init(s, d):
     """Counts from labels, mixed with the start that knows nothing."""
     counted = partition.effective_beta(T.symmetric(s, d), T.labels(s, d)).select("t", "q", "r", (F.col("beta") * 2).alias("own"))
@@ -224,6 +235,7 @@ def beta_planted_init(s, d):
 
 
 @query
+@T.each_once
 def lambda_planted_init(s, d):
     weighted = graph.prepare(T.edges(s, d), deg_corr=True)
     k = partition.group_degrees(graph.degrees(weighted), T.labels(s, d)).select("t", "q", F.col("k_out").alias("k"))
@@ -238,6 +250,7 @@ def pi_planted_init(s, d):
 
 
 @query
+@T.each_once
 def bp_field_terms(s, d):
     f = X.cols("f", Q)
     return rounded(bp.field_terms(T.messages(s, d), T.beta(s, d), Q).select("t", "recv", "send", *f), *f, digits=9)
@@ -262,6 +275,7 @@ def _weighted(s, d) -> tuple[DataFrame, DataFrame]:
 
 
 @query
+@T.each_once
 def bp_field_terms_dc(s, d):
     f = X.cols("f", Q)
     messages, degs = _weighted(s, d)
@@ -270,6 +284,7 @@ def bp_field_terms_dc(s, d):
 
 
 @query
+@T.each_once
 def bp_external_field(s, d):
     return rounded(bp.external_field(T.nodes(s, d), T.beta(s, d), Q), *X.cols("h", Q))
 
@@ -286,18 +301,21 @@ def _swept(s, d) -> tuple[DataFrame, DataFrame]:
 
 
 @query
+@T.each_once
 def bp_node_marginals_1sweep(s, d):
     p = X.cols("p", Q)
     return rounded(_swept(s, d)[1].select("node", "t", *p), *p)
 
 
 @query
+@T.each_once
 def bp_messages_1sweep(s, d):
     psi = X.cols("psi", Q)
     return rounded(bp.sweep_messages(*_swept(s, d), Q).select("t", "recv", "send", *psi), *psi)
 
 
 @query
+@T.each_once
 def bp_temporal_messages_1sweep(s, d):
     names = [*X.cols("fwd", Q), *X.cols("bwd", Q)]
     return rounded(_swept(s, d)[1].where("bwd0 IS NOT NULL").select("node", "t", *names), *names)
@@ -308,6 +326,7 @@ def _edge_pairs(s, d) -> DataFrame:
 
 
 @query
+@T.each_once
 def twopoint_edge_1sweep(s, d):
     sums = _edge_pairs(s, d).groupBy("t").agg(*(F.sum(f"e{r}{k}").alias(f"e{r}{k}") for r in range(Q) for k in range(Q)))
     return rounded(long_blocks(sums, "e", "v"), "v")
@@ -337,11 +356,13 @@ def pi_update(s, d):
 
 
 @query
+@T.each_once
 def beta_update(s, d):
     return rounded(long_blocks(bp.beta_estimate(_edge_pairs(s, d), T.nodes(s, d), Q), "b", "beta"), "beta", digits=8)
 
 
 @query
+@T.each_once
 def lambda_update(s, d):
     messages, degs = _weighted(s, d)
     pairs = bp.edge_pairs(messages, T.beta(s, d), Q)
@@ -349,6 +370,7 @@ def lambda_update(s, d):
 
 
 @query
+@T.each_once
 def free_energy(s, d):
     swept = _swept(s, d)[1]
     found = bp.free_energy(T.messages(s, d), T.nodes(s, d), swept, T.beta(s, d), PI, Q)
@@ -361,12 +383,14 @@ def map_labels(s, d):
 
 
 @query
+@T.each_once
 def components_weak(s, d):
     """Of the first snapshot, as its SQL is; ``components_weak_all`` has every one."""
     return graph.weak_components(T.edges(s, d).where("t = 0"))
 
 
 @query
+@T.each_once
 def components_weak_all(s, d):
     """Of every snapshot. No SQL: the recursive one lists a row for each node and smaller node that reaches it."""
     return graph.weak_components(T.edges(s, d))
@@ -393,6 +417,7 @@ def topics_export(s, d):
 
 
 @query
+@T.each_once
 def greedy_edge_gain(s, d):
     return rounded(greedy.edge_gain(T.symmetric(s, d), T.labels(s, d), Q), "gain")
 

@@ -1,12 +1,17 @@
 """Deterministic networks, labels and model states over the ordinary tables, for queries that an oracle can repeat."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweft.functions import formulas as X
 from netweft.operators import graph
 from netweft.operators import propagation as bp
+from netweft.plans.scratch import stored
 from netweft.sources import network as N
 
 #: Groups of the fixtures, and their transition matrix.
@@ -15,14 +20,47 @@ PI = [[0.7 if i == j else 0.1 for j in range(Q)] for i in range(Q)]
 ALPHA = [1 / Q] * Q
 
 
+_held: ContextVar[dict | None] = ContextVar("_held", default=None)
+
+
+def each_once(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """While the query is put together, each table that it derives from the network more than once is written and read again."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _held.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _held.reset(token)
+
+    return run
+
+
+def _once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = _held.get()
+        if held is None:
+            return f(spark, sf_dir)
+        if (f.__name__, sf_dir) not in held:
+            held[f.__name__, sf_dir] = stored(f(spark, sf_dir), f.__name__)[0]
+        return held[f.__name__, sf_dir]
+
+    return run
+
+
+@_once
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.copurchase_edges(spark, sf_dir)
 
 
+@_once
 def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.prepare(edges(spark, sf_dir))
 
 
+@_once
 def present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.presence(edges(spark, sf_dir))
 
@@ -39,11 +77,13 @@ def other_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(spark, sf_dir).select("node", "t", F.expr(f"CAST((node + t) % {Q} AS INT)").alias("q"))
 
 
+@_once
 def beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = symmetric(spark, sf_dir)
-    return bp.initial_blocks(net, graph.presence(net), Q)
+    return bp.initial_blocks(net, present(spark, sf_dir), Q)
 
 
+@_once
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bp.planted_nodes(labels(spark, sf_dir), Q)
 
@@ -53,6 +93,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symmetric(spark, sf_dir).select("t", F.col("dst").alias("recv"), F.col("src").alias("send"), F.col("w").alias("w_fwd"), F.col("w").alias("w_rev"))
 
 
+@_once
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bp.planted_messages(pairs(spark, sf_dir), labels(spark, sf_dir), Q)
 
