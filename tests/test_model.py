@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import itertools
 import math
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from netweft.sources import network
 from netweft.streaming import snapshots
 
 
+ROOT = Path(__file__).resolve().parent.parent
+
+
 def edges_of(spark, rows):
     return spark.createDataFrame([(t, a, b, 1.0) for t, a, b in rows], "t int, src long, dst long, w double")
 
@@ -340,3 +345,51 @@ def test_entry_stands_without_the_optional_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and len(e.oracle_sql()) > 55 and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+def test_components_of_large_ids(spark):
+    big = 1 << 41
+    rows = [(0, big, big + 1), (1, big + 1, big + 2), (1, 3, -5), (0, (1 << 63) - 1, -(1 << 63)), (1 << 30, 3, 4)]
+    got = {(r["t"], r["node"]): r["component"] for r in graph.weak_components(edges_of(spark, rows)).collect()}
+    assert got == {
+        (0, big): big, (0, big + 1): big, (1, big + 1): big + 1, (1, big + 2): big + 1, (1, 3): -5, (1, -5): -5,
+        (0, (1 << 63) - 1): -(1 << 63), (0, -(1 << 63)): -(1 << 63), (1 << 30, 3): 3, (1 << 30, 4): 3,
+    }
+
+
+def test_weights_of_large_and_small_rates(spark):
+    net = spark.range(40_000).selectExpr("0 AS t", "id AS src", "id + 1 AS dst", "1.0D AS w")
+    for rate in (0.05, 4.0, 300.0, 2000.0):
+        w = simulate.truncated_poisson_weights(net, rate).agg(F.min("w"), F.avg("w"), F.stddev("w")).first()
+        mean = rate / -np.expm1(-rate)
+        assert w[0] >= 1 and abs(w[1] - mean) < 0.05 * mean**0.5
+        assert abs(w[2] ** 2 - mean * (1 + rate - mean)) < 0.1 * mean * max(1 + rate - mean, 0.05)
+    assert simulate.truncated_poisson_weights(net.limit(5), 0.0).agg(F.max("w")).first()[0] == 1
+
+
+def test_metadata_of_normal_and_negative_binomial_groups(spark):
+    labels = spark.range(40_000).selectExpr("id AS node", "0 AS t", "CAST(id % 2 AS INT) AS q")
+    by = lambda df: [r[1:] for r in df.join(labels, ["node", "t"]).groupBy("q").agg(F.avg(F.col("x")[0]), F.stddev(F.col("x")[0])).orderBy("q").collect()]
+    (m0, s0), (m1, s1) = by(simulate.normal_metadata(labels, [-2.0, 50.0], [1.0, 4.0]))
+    assert abs(m0 + 2) < 0.05 and abs(s0 - 1) < 0.05 and abs(m1 - 50) < 0.2 and abs(s1 - 4) < 0.2
+    (m0, s0), (m1, s1) = by(simulate.negative_binomial_metadata(labels, [2.5, 40.0], [0.5, 0.1]))
+    assert abs(m0 - 2.5) < 0.1 and abs(s0 - 5**0.5) < 0.1 and abs(m1 - 360) < 2 and abs(s1 - 60) < 2
+
+
+def test_scratch_folders_need_a_shared_place_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from netweft.plans import scratch
+
+    alone = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.shared_root(alone)
+
+
+def test_entry_stands_where_a_library_is_missing():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), any(x.startswith('op') for x in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True).stdout.split()
+    assert int(out[-2]) > 60 and out[-1] == "False"
