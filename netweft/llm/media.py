@@ -14,11 +14,12 @@ scan of upper bits has just one byte for each coefficient.
 Reading takes any progressive file (see ``jpeg``). A row depends on itself
 alone: no shuffle, and a lost executor costs its running tasks. Null or empty
 texts are 64 zero bytes. Repeated rows have one result each; other columns are
-ignored; an empty table gives no rows. Null media give null results.
+ignored; an empty table gives no rows. Null media give null results. A very long
+text is one image of as many rows of blocks as it takes, or of more columns from
+65,535 rows of samples on; one task holds it whole.
 """
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -208,9 +209,9 @@ def write_tensors(rows: DataFrame, path: str, media: str = "media") -> None:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes whole ``documents`` as a media column and returns what is read back from there."""
+    """Writes whole ``documents`` as a media column and returns what is read back from there, the RGB tensors with it."""
     files, _ = stored(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    return read(files, tensors=False).select(
+    return read(files).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -219,8 +220,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb",
     )
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
