@@ -10,7 +10,9 @@ bytes. A token may follow another one if merging the two of them would not have
 met across their boundary; that is decided by undoing merges on either side.
 
 ``encode`` and ``decode`` work on tables without a shuffle. Null or empty text
-has no tokens. Repeated rows have one result each; other columns are ignored.
+has no tokens. Repeated rows have one result each; other columns are ignored. A
+very long text is encoded whole, and a very long piece in time that grows with
+its length. An empty table: no rows.
 """
 from __future__ import annotations
 

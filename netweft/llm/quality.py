@@ -11,6 +11,8 @@ documents, those with the smallest hash of their id) and scores every document.
 Two passes over the texts: votes, and scores. The first is shuffled as counts
 of patterns only. A null or empty text gets no votes and is not kept. Repeated
 rows have one result each; other columns are ignored. An empty table: no rows.
+A very long text is read whole; its features are shares, so length alone says
+nothing. A quality that equals the threshold keeps the document.
 """
 from __future__ import annotations
 

@@ -9,7 +9,9 @@ Parts follow each other in ascending document id, and so do the documents in a
 part; equal ids are in order of their texts, null ids come first.
 
 A task writes under a name of its own attempt and then renames; what it writes
-depends on its rows alone, so a second attempt leaves the same files.
+depends on its rows alone, so a second attempt that comes later leaves the first
+one's files, which are the same. A very long text is one frame, which one task
+holds whole; it is encoded without its length being bounded. An empty table: no parts.
 """
 from __future__ import annotations
 
@@ -34,8 +36,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netweft.llm.batches import keyed_texts, pieces, sampled
+from netweft.llm.files import settle
 from netweft.llm.parts import Known, encoded, lists_of
-from netweft.plans.scratch import new_folder
+from netweft.plans.scratch import new_folder, passing
 
 MAGIC = b"NWTOKENS"
 HEADER = struct.Struct("<8s32sI")
@@ -154,7 +157,7 @@ class _Part:
         with self.store.open_output_stream(self.draft["index"]) as out:
             out.write(np.array(self.index, INDEX).tobytes())
         for x, p in self.draft.items():
-            self.store.move(p, self.final[x])
+            settle(self.store, p, self.final[x])
 
 
 def write(
@@ -268,5 +271,6 @@ def ids_crc32(ids: np.ndarray) -> int:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of whole ``documents`` to files and returns what the files hold."""
-    parts = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "tokens"))
+    parts = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder := new_folder(spark, "tokens"))
+    passing(spark, folder)
     return read(parts, ids_crc32).withColumnRenamed("digest", "ids_crc32")

@@ -14,7 +14,11 @@ one partial minimum in each task; compressed records, not pages, are shuffled.
 
 Null html: an empty payload. Null url: ``about:blank``. A row with a null id is
 always a response. Repeated rows: all copies that have the smallest id are
-responses. An empty table: no records. Other columns are ignored.
+responses. An empty table: no records. Other columns are ignored. A very long
+page is one record like any other, which one task holds whole.
+
+A task writes under a name of its own attempt and then gives the file its name;
+a second attempt that comes later leaves the first one's file, which is the same.
 """
 from __future__ import annotations
 
@@ -31,8 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import pieces
-from netweft.plans.scratch import new_folder, remove, stored
+from netweft.llm.batches import bounded, pieces
+from netweft.llm.files import settle
+from netweft.plans.scratch import new_folder, passing, remove, stored
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2000-01-01T00:00:00Z"
@@ -90,7 +95,7 @@ def _digested(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 ["page_id", "url", "digest", "size", "member"],
             )
 
-    rows = pages.select(
+    rows = bounded(pages).select(
         F.col(f"`{key}`").cast("long").alias("page_id"),
         F.col(f"`{url}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
@@ -131,7 +136,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                 at += len(data)
         if out is not None:
             out.close()
-            store.move(draft, final)
+            settle(store, draft, final)
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "size": [at]}, pa.schema([("path", pa.string()), ("size", pa.int64())]))
 
     on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest"))
@@ -286,5 +291,6 @@ def read(archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> Data
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes whole ``pages`` to archives and returns what the archives hold."""
-    archives = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_folder(spark, "warc"))
+    archives = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder := new_folder(spark, "warc"))
+    passing(spark, folder)
     return read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

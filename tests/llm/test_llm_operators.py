@@ -216,6 +216,23 @@ def test_token_files_know_their_dictionary(spark, odd):
         token_files.Reader(path)
 
 
+def test_files_settle_whoever_comes_first(tmp_path):
+    from pyarrow import fs
+
+    from netweft.llm.files import settle
+
+    store = fs.LocalFileSystem()
+    for k, data in enumerate((b"same", b"same", b"other one")):
+        draft = tmp_path / f"draft{k}"
+        draft.write_bytes(data)
+        if k < 2:
+            settle(store, str(draft), str(tmp_path / "final"))
+        else:
+            with pytest.raises(OSError):
+                settle(store, str(draft), str(tmp_path / "final"))
+    assert (tmp_path / "final").read_bytes() == b"same" and not (tmp_path / "draft1").exists()
+
+
 # --- WARC
 
 
@@ -448,7 +465,8 @@ def test_media_are_written_before_they_are_read(spark, data, tmp_path, monkeypat
     rows = {r["doc_id"]: r for r in media.op2_media(spark, data).collect()}
     ((files, uri),) = seen
     on_disk = {r["doc_id"]: r for r in spark.read.parquet(uri).collect()}
-    assert set(on_disk) == set(rows) and all(media.sha256(bytes(on_disk[k]["media"])) == r["media_sha256"] for k, r in rows.items())
+    assert set(on_disk) == set(rows) and all(hashlib.sha256(bytes(on_disk[k]["media"])).hexdigest() == r["media_sha256"] for k, r in rows.items())
+    assert all(len(r["rgb"]) == 3 * r["height"] * r["width"] for r in rows.values())
     media.write_tensors(files.limit(20), str(tmp_path / "rgb"))
     pixels = spark.read.parquet(str(tmp_path / "rgb")).collect()
     assert len(pixels) == 20
