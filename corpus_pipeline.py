@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``; the last returns the ids.
+
+Null, empty and blank texts get no quality and go in the first stage; so none
+gets further. Of rows with one id and text one stays, and of texts that are
+equal or nearly so the one with the smallest id; a null id stays if nothing
+else of its group does. Very long texts are read whole throughout. An empty
+table gives no rows.
 """
 from __future__ import annotations
 
