@@ -6,17 +6,20 @@ executor costs only its running tasks. Every search is linear in the text.
 
 Kinds. ``email``, ``ip``, ``card`` and ``phone`` are the base: leftmost
 non-overlapping matches that pass their check, whatever stands around them.
-``iban`` (ISO 13616, remainder 1 modulo 97) and ``ssn`` (three-two-four digits)
-are added where their score reaches ``threshold``; the digits of an ssn carry
-no checksum, so it needs a word nearby.
+``iban`` (ISO 13616, remainder 1 modulo 97), ``ssn`` (three-two-four digits) and
+``secret`` (20 signs or more, letters and digits, of at least 3 bits of entropy each)
+are added where their score reaches ``threshold``; an ssn and a secret carry
+no checksum, so they need a word nearby.
 
 Null or empty text: no spans. Repeated rows: one result each. Other columns are
-ignored by ``detect`` and kept by ``redact``.
+ignored by ``detect`` and kept by ``redact``. Very long texts are read whole.
 """
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from netweft.llm.batches import bounded, keyed_texts, pieces
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})")
 _BODY = re.compile(r"(?:\x20?[A-Z0-9]{4}){0,7}(?:\x20?[A-Z0-9]{1,3})?")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}")
 
 # Words that make a kind more likely, or less so, when they stand within WINDOW characters.
 NEAR = {
@@ -48,10 +52,11 @@ NEAR = {
     "phone": ("call", "fax", "mobile", "phone", "tel"),
     "iban": ("account", "bank", "iban", "transfer"),
     "ssn": ("security", "social", "ssn"),
+    "secret": ("api", "bearer", "credential", "key", "password", "secret", "token"),
 }
 AGAINST = ("build", "example", "isbn", "order", "part", "release", "sample", "version")
 # What a kind's pattern and check are worth by themselves.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "secret": 0.4}
 WINDOW = 40
 # Characters of the registered countries' account numbers (ISO 13616).
 _LENGTHS = {
@@ -90,6 +95,11 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def entropy(text: str) -> float:
+    """Bits for each sign."""
+    return sum(n / len(text) * math.log2(len(text) / n) for n in Counter(text).values())
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """By the at-signs: what stands left of one as far as the last match, then the host."""
     free, at = 0, text.find("@")
@@ -148,6 +158,9 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if _DIGIT.search(m[0]) and any(map(str.isalpha, m[0])) and entropy(m[0]) >= 3:
+            yield "secret", m.start(), m.end()
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
@@ -224,6 +237,8 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(joined(BASE), 256).alias("base_sha256"),
         joined((*BASE, *ADDED)).alias("spans"),
         *(F.size(of[k]).cast("long").alias(f"n_{k}") for k in ADDED),
+        (F.size("spans") > 0).alias("private"),
+        F.array_max(F.transform("spans", lambda x: x["score"])).alias("score"),
     )
 
 

@@ -82,6 +82,66 @@ def test_pii_account_numbers_end_at_their_countrys_length():
     assert not [s for s in pii.find_spans("ES9121000418450200051333 A Juan") if s.kind == "iban"]
 
 
+def test_pii_secrets_need_letters_digits_entropy_and_a_word_nearby():
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    kinds = lambda text: [(x.kind, text[x.start : x.end]) for x in pii.find_spans(text)]
+    assert kinds(f'the token = "{value}" here') == [("secret", value)] and kinds(f"API key: {value}==") == [("secret", value + "==")]
+    assert kinds(f"commit {value}") == [] and kinds("the token is " + "ab1" * 20) == [] and kinds("the token is " + "abcdefghij" * 4) == []
+    assert kinds("sample token " + value) == [] and pii.redacted(f"token={value}.") == "token=[SECRET]."
+    assert kinds("secret " + "z9" * 100_000) == [] and len(kinds("key " + f"{value} " * 1000)) == 1
+
+
+def plain_em(votes, rounds):
+    """Expectation-maximisation document by document."""
+    m = len(votes[0])
+    post = [0.9 if 3 * v.count("-") < v.count("+") else 0.1 if "-" in v else 0.5 for v in votes]
+    for _ in range(rounds):
+        good = min(1 - 1e-3, max(1e-3, sum(post) / len(post)))
+        chance = [[[1.0, 1.0] for _ in range(m)], [[1.0, 1.0] for _ in range(m)]]
+        for v, p in zip(votes, post):
+            for j, x in enumerate(v):
+                if x != "0":
+                    chance[0][j][x == "+"] += 1 - p
+                    chance[1][j][x == "+"] += p
+        before, post = post, []
+        for v in votes:
+            a, b = 1 - good, good
+            for j, x in enumerate(v):
+                if x != "0":
+                    a *= chance[0][j][x == "+"] / sum(chance[0][j])
+                    b *= chance[1][j][x == "+"] / sum(chance[1][j])
+            post.append(b / (a + b))
+        if max(abs(x - y) for x, y in zip(before, post)) < 1e-9:
+            break
+    return post
+
+
+def test_quality_em_over_patterns_is_that_over_documents():
+    rng = random.Random(31)
+    votes = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        v = "".join("0" if rng.random() < 0.3 else "+" if (rng.random() < 0.85) == good else "-" for _ in range(5))
+        votes += [v] if v.strip("0") else []
+    model = quality.WeakLabels(Counter(votes))
+    assert all(abs(model.probability(v) - p) < 1e-6 for v, p in zip(votes, plain_em(votes, 200)))
+
+
+def test_quality_scorer_steps_are_those_of_logistic_regression():
+    rng = np.random.default_rng(32)
+    rows, wanted = rng.normal(size=(30, 4)).astype(np.float32), rng.uniform(0, 1, 30)
+    w, bias, past, past_bias = [0.0] * 4, 0.0, [1e-6] * 4, 1e-6
+    for _ in range(5):
+        error = [1 / (1 + np.exp(-(sum(x * y for x, y in zip(r, w)) + bias))) - t for r, t in zip(rows.tolist(), wanted)]
+        step = [sum(e * r[k] for e, r in zip(error, rows.tolist())) / 30 + 1e-5 * w[k] for k in range(4)]
+        past = [p + s * s for p, s in zip(past, step)]
+        w = [x - 0.5 * s / p**0.5 for x, s, p in zip(w, step, past)]
+        past_bias += np.mean(error) ** 2
+        bias -= 0.5 * np.mean(error) / past_bias**0.5
+    got, got_bias = quality.fit_scorer(rows, wanted, rounds=5)
+    assert np.allclose(got, w, atol=1e-4) and abs(got_bias - bias) < 1e-4
+
+
 def test_pii_is_linear_in_awkward_texts():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "9" * 5000 + ".1.1.1"):
         pii.find_spans(text)

@@ -19,7 +19,7 @@ COLUMNS = {
     "op7_decontamination": ["doc_id", "contaminated", "item_ids", "coverage"],
     "op8_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_language": ["doc_id", "page_id", "lang", "probability", "kept"],
-    "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "n_ssn"],
+    "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "n_ssn", "n_secret", "private", "score"],
 }
 
 
