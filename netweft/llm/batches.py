@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch; texts are whole, so many of them are large.
-ROWS = 2_000
+ROWS = 500
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -46,6 +46,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
     pa.default_memory_pool().release_unused()
 
 
+def merged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``limit`` bytes or a little more, for work that is done once for what a batch has in common."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= limit:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def sampled(rows: DataFrame, n: int) -> DataFrame:
     """(key, text) of the n ids with the smallest hash, each with the smallest of its texts: the same ones however the table is dealt out.
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import keyed_texts, pieces
+from netweft.llm.batches import keyed_texts, merged, pieces
 from netweft.llm.parts import Known, encoded, layout, lists_of, sliced
 
 _NONE = -1
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for part in pieces(batches, limit=8 << 20):
+        for part in pieces(merged(batches, 6 << 20), limit=8 << 20):
             yield pa.RecordBatch.from_arrays([part.column("key"), e.encode_all(part.column("text")).cast(pa.binary())], ["key", "ids"])
 
     return keyed_texts(docs, key, text).mapInArrow(mapped, "key long, ids binary").withColumnRenamed("key", key)

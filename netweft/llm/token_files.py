@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netweft.llm.batches import keyed_texts, pieces, sampled
+from netweft.llm.batches import keyed_texts, merged, pieces, sampled
 from netweft.llm.files import settle
 from netweft.llm.parts import Known, encoded, lists_of
 from netweft.plans.scratch import new_folder, passing
@@ -186,7 +186,7 @@ def write(
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, e, part = TaskContext.get(), encoder(path), None
         name = f"part-{task.partitionId():05d}"
-        for some in pieces(batches, limit=8 << 20):
+        for some in pieces(merged(batches, 6 << 20), limit=8 << 20):
             if part is None:
                 part = _Part(folder, name, str(task.taskAttemptId()), dictionary, width)
             for doc_id, ids in zip(some.column("key").to_pylist(), e.encode(some.column("text"))):
