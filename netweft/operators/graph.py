@@ -1,6 +1,8 @@
 """Snapshots: symmetrised edges, presence, degrees, density, subgraphs, connectivity."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,6 +74,11 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(at("src"), ["src", "t"], "left_semi").join(at("dst"), ["dst", "t"], "left_semi").select("t", "src", "dst", "w")
 
 
+def induced_fields(fields: Sequence[tuple[DataFrame, str]], nodes: DataFrame) -> list[tuple[DataFrame, str]]:
+    """Metadata (meta, distribution) of the nodes (node, t) of the set."""
+    return [(meta.join(nodes.select("node", "t"), ["node", "t"], "left_semi"), dist) for meta, dist in fields]
+
+
 def weak_components(edges: DataFrame) -> DataFrame:
     """(t, node, component): the smallest node reachable in the snapshot. Nodes of different snapshots are apart."""
     wide = "decimal(38,0)"

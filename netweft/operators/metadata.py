@@ -23,7 +23,7 @@ def drop_null_dims(meta: DataFrame) -> DataFrame:
 
 
 def bernoulli_topk(meta: DataFrame, k: int = 20) -> DataFrame:
-    """(node, t, l) set in a wide multi-hot field: a row's k largest positive values, of equals those of larger positions."""
+    """(node, t, l) set in a wide multi-hot field: a row's k largest values other than 0, of equals those of larger positions."""
     order = W.partitionBy("node", "t").orderBy(F.desc("v"), F.desc("l"))
     return _long(meta).where("v <> 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("node", "t", "l")
 
@@ -56,6 +56,28 @@ def poisson_shift(meta: DataFrame) -> DataFrame:
     return meta.crossJoin(F.broadcast(low)).select("node", "t", F.transform("x", lambda v: F.rint(v - F.col("low"))).alias("x"))
 
 
+def clean(meta: DataFrame, dist: str, max_cats: int = 20, literal_rescale: bool = False) -> DataFrame:
+    """(node, t, x) as the distribution takes it; rows in which nothing is left to say have no row.
+
+    Counts are shifted and rounded, flags 1 where positive (a row's ``max_cats`` largest at most, of equals those of larger
+    positions), categories 1 at the largest positive value (the last of equals), multinomial values counts.
+    """
+    if dist == "poisson":
+        return poisson_shift(meta)
+    if dist == "multinomial":
+        return multinomial_counts(meta, literal_rescale)
+    if dist not in ("indep bernoulli", "categorical"):
+        raise ValueError(f"no such distribution: {dist}")
+    most = 1 if dist == "categorical" else max_cats
+    positive = F.filter(F.transform("x", lambda v, l: F.struct(v.alias("v"), l.alias("l"))), lambda c: c["v"] > 0)
+    chosen = F.transform(F.slice(F.sort_array(positive, asc=False), 1, most), lambda c: c["l"])
+    rows = meta.withColumn("chosen", chosen)
+    if dist == "categorical":
+        rows = rows.where(F.size("chosen") > 0)
+    flags = F.transform("x", lambda v, l: F.when(v.isNull() & F.lit(dist != "categorical"), F.lit(None).cast("double")).otherwise(F.array_contains("chosen", l).cast("double")))
+    return rows.withColumn("x", flags).drop("chosen")
+
+
 def _ln(x: Column) -> Column:
     return F.log(F.when(x > 0, x).otherwise(F.lit(TOL)))
 

@@ -162,21 +162,47 @@ def temporal_terms(nodes: DataFrame, pi: Sequence[Sequence[float]], q: int) -> D
     return rows.select(*nodes.columns, (F.col("old_fwd0").isNotNull()).alias("continues"), *(F.expr(e).alias(f"lf{i}") for i, e in enumerate(lf)), *(F.expr(e).alias(f"lb{i}") for i, e in enumerate(lb)))
 
 
-def sweep_nodes(fields: DataFrame, nodes: DataFrame, beta: DataFrame, alpha: Sequence[float], pi: Sequence[Sequence[float]], q: int, meta: DataFrame | None = None, tuning: float = 1.0, directed: bool = False, degs: DataFrame | None = None) -> DataFrame:
+def site_terms(fields: DataFrame, nodes: DataFrame, beta: DataFrame, q: int, directed: bool = False, degs: DataFrame | None = None, tol: float = X.TOL) -> DataFrame:
+    """(node, t, s0..): logs of what all neighbours say of the node, less the external field."""
+    site = fields.groupBy(F.col("recv").alias("node"), "t").agg(*(F.sum(F.expr(X.safe_ln(f"f{k}", tol))).alias(f"s{k}") for k in range(q)))
+    site = site.join(F.broadcast(external_field(nodes, beta, q, directed, degs)), "t")
+    if degs is not None:
+        site = site.join(degs.select("node", "t", "d_in", "d_out"), ["node", "t"])
+    outside = lambda k: f"h{k}" if degs is None else f"(h{k} * d_in + g{k} * d_out)" if directed else f"h{k} * d_out"
+    return site.select("node", "t", *(F.expr(f"s{k} - {outside(k)}").alias(f"s{k}") for k in range(q)))
+
+
+def smallest_positive(fields: DataFrame, q: int) -> float | None:
+    """The smallest positive field term of the system; None where there is none."""
+    least = F.least(*(F.min(F.when(F.col(f"f{k}") > 0, F.col(f"f{k}"))) for k in range(q))) if q > 1 else F.min(F.when(F.col("f0") > 0, F.col("f0")))
+    return fields.agg(least).first()[0]
+
+
+def suggested_tuning(site: DataFrame, meta: DataFrame, q: int, tuning: float) -> float | None:
+    """A weight of metadata for which it says as much as the edges do, where it says over twice as much in over a quarter of cells.
+
+    Else None. site: ``site_terms``; meta: (node, t, m0..), which counts ``tuning`` times now. The weight is the mean of their
+    ratio over cells that have both, clamped to [1e-4, 50].
+    """
+    cells = F.array(*(F.struct(F.col(f"s{k}").alias("s"), F.col(f"m{k}").alias("m")) for k in range(q)))
+    long = site.join(meta, ["node", "t"], "left").select(F.explode(cells).alias("x")).select("x.s", "x.m")
+    r = long.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("m") * tuning < 2 * F.col("s")).cast("long")).alias("over"), F.avg(F.when(F.col("m") != 0, F.col("s") / F.nullif("m", F.lit(0.0)))).alias("ratio")).first()
+    if r["over"] is None or r["ratio"] is None or r["over"] <= r["n"] / 4:
+        return None
+    return min(50.0, max(1e-4, r["ratio"]))
+
+
+def sweep_nodes(fields: DataFrame, nodes: DataFrame, beta: DataFrame, alpha: Sequence[float], pi: Sequence[Sequence[float]], q: int, meta: DataFrame | None = None, tuning: float = 1.0, directed: bool = False, degs: DataFrame | None = None, tol: float = X.TOL) -> DataFrame:
     """One synchronous sweep of the node table: (node, t, p0.., fwd0.., bwd0.., w0..).
 
     fields: ``field_terms``, or ``field_terms_dc`` with degs (node, t, d_in, d_out). meta: (node, t, m0..), log-likelihoods. w: the nodes' log-weights, of which messages are made.
-    A node that wasn't present a step earlier begins by alpha.
+    A node that wasn't present a step earlier begins by alpha. Logs of what isn't positive are those of tol.
     """
-    site = fields.groupBy(F.col("recv").alias("node"), "t").agg(*(F.sum(F.expr(X.safe_ln(f"f{k}"))).alias(f"s{k}") for k in range(q)))
-    rows = temporal_terms(nodes.select("node", "t", *X.cols("p", q), *X.cols("fwd", q), *X.cols("bwd", q)), pi, q).join(site, ["node", "t"])
-    rows = rows.join(F.broadcast(external_field(nodes, beta, q, directed, degs)), "t")
-    if degs is not None:
-        rows = rows.join(degs.select("node", "t", "d_in", "d_out"), ["node", "t"])
-    outside = lambda k: f"h{k}" if degs is None else f"(h{k} * d_in + g{k} * d_out)" if directed else f"h{k} * d_out"
+    rows = temporal_terms(nodes.select("node", "t", *X.cols("p", q), *X.cols("fwd", q), *X.cols("bwd", q)), pi, q)
+    rows = rows.join(site_terms(fields, nodes, beta, q, directed, degs, tol), ["node", "t"])
     if meta is not None:
         rows = rows.join(meta, ["node", "t"], "left")
-    own = lambda k: f"s{k} - {outside(k)}" + (f" + CAST({tuning!r} AS DOUBLE) * coalesce(m{k}, CAST(0 AS DOUBLE))" if meta is not None else "")
+    own = lambda k: f"s{k}" + (f" + CAST({tuning!r} AS DOUBLE) * coalesce(m{k}, CAST(0 AS DOUBLE))" if meta is not None else "")
     # Before the forward term, alpha counts at the first snapshot only; with it, wherever a node begins.
     start = [f"ln(CAST({float(a)!r} AS DOUBLE))" for a in alpha]
     pre = [f"{own(k)} + lb{k} + CASE WHEN t = 0 THEN {start[k]} ELSE CAST(0 AS DOUBLE) END" for k in range(q)]
@@ -196,10 +222,10 @@ def sweep_nodes(fields: DataFrame, nodes: DataFrame, beta: DataFrame, alpha: Seq
     )
 
 
-def sweep_messages(fields: DataFrame, swept: DataFrame, q: int) -> DataFrame:
+def sweep_messages(fields: DataFrame, swept: DataFrame, q: int, tol: float = X.TOL) -> DataFrame:
     """The messages that receivers send back: each neighbour's own word is taken out of the node's weight."""
     at = swept.select(F.col("node").alias("recv"), "t", *X.cols("w", q))
-    out = X.softmax([f"(w{k} - {X.safe_ln(f'f{k}')})" for k in range(q)])
+    out = X.softmax([f"(w{k} - {X.safe_ln(f'f{k}', tol)})" for k in range(q)])
     return fields.join(at, ["recv", "t"]).select(
         "t", F.col("send").alias("recv"), F.col("recv").alias("send"), F.col("w_rev").alias("w_fwd"), F.col("w_fwd").alias("w_rev"), *(F.expr(e).alias(f"psi{k}") for k, e in enumerate(out))
     )

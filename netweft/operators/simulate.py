@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,16 +183,108 @@ def expected_degree(n: int, q: int, p_in: float, p_out: float) -> tuple[float, f
     return size * (p_in + (q - 1) * p_out), size * (p_in * (1 - p_in) + (q - 1) * p_out * (1 - p_out))
 
 
+# Fixed values of the recovery experiments, a setting in each place.
+_DEFAULT_C_IN = (10, 10, 6, 6, 10, 6, 10, 6)
+_DEFAULT_P_STAY = (0.8, 0.6, 0.8, 0.6, 0.6, 0.8, 0.6, 0.6)
+_DEFAULT_ALIGNED = (True, True, True, True, False, False, False, False)
+_OG_BLOCKS = ((0.2, 0.1, 0.15), (0.25, 0.1, 0.2), (0.3, 0.1, 0.2), (0.4, 0.1, 0.2), (0.3, 0.1, 0.3))  # first group's, between, second's
+_OG_P_STAY = (0.6, 0.75, 0.9)
+_OG_SNAPSHOTS = (5, 10)
+
+
+def _evenly(low: float, high: float, n: int) -> list[float]:
+    return [low + (high - low) * k / (n - 1) for k in range(n)]
+
+
+def _setting(number: int, n: int, q: int, snapshots: int, beta: list[list[float]], p_stay: float, aligned: bool | float, samples: int, drawn: bool = False) -> dict:
+    return {"number": number, "n": n, "q": q, "snapshots": snapshots, "beta": beta, "p_stay": p_stay, "aligned": aligned, "samples": samples, "drawn": drawn}
+
+
 def default_grid() -> list[dict]:
-    """The recovery experiments: eight settings of 100 nodes, four groups and five snapshots."""
+    """Eight settings of 100 nodes, four groups and five snapshots; metadata shows the groups, or others of its own."""
     return [
-        {"n": 100, "q": 4, "snapshots": 5, "c_in": c, "c_out": 2.0, "p_stay": p, "aligned": a} for a in (True, False) for c in (10.0, 6.0) for p in (0.8, 0.6)
+        _setting(k + 1, 100, 4, 5, block_matrix(4, c / 100, 0.02), p, a, 20) for k, (c, p, a) in enumerate(zip(_DEFAULT_C_IN, _DEFAULT_P_STAY, _DEFAULT_ALIGNED))
     ]
 
 
+def og_grid() -> list[dict]:
+    """Thirty settings of 100 nodes and two groups of different density; the metadata's parameters are drawn for each sample."""
+    cases = [(b, p, t) for b in _OG_BLOCKS for p in _OG_P_STAY for t in _OG_SNAPSHOTS]
+    return [_setting(13 + k, 100, 2, t, [[b[0], b[1]], [b[1], b[2]]], p, True, 20, True) for k, (b, p, t) in enumerate(cases)]
+
+
 def scaling_grid() -> list[dict]:
-    sizes = [int(math.exp(5 + 3 * k / 19)) for k in range(20)]
-    return [{"n": n, "q": int(math.log(n)), "snapshots": 5, "c_in": 20.0, "c_out": 5.0, "p_stay": 0.8, "aligned": True} for n in sizes]
+    """Twenty settings of 148 to 2,980 nodes, with the logarithm of that as the number of groups."""
+    sizes = [int(math.exp(x) + 1e-9) for x in _evenly(5, 8, 20)]
+    return [_setting(400 + k, n, int(math.log(n)), 5, block_matrix(int(math.log(n)), 20 / n, 5 / n), 0.8, True, 3) for k, n in enumerate(sizes)]
+
+
+def align_grid() -> list[dict]:
+    """Forty settings of 100 nodes, in which the metadata's agreement with the groups goes from 0.1 to 1, twice."""
+    share = _evenly(0.1, 1.0, 10) * 2
+    return [_setting(500 + k, 100, 4, 5, block_matrix(4, (40 if k < 20 else 30) / 100, 0.1), 0.6 if k % 2 == 0 else 0.8, share[k // 2], 20) for k in range(40)]
+
+
+def toy_grid(
+    n: int = 200, snapshots: int = 10, q: int = 2, c: float = 10.0, samples: int = 20, eps: Sequence[float] | None = None, eta: Sequence[float] | None = None,
+    rho: Sequence[float] | None = None, literal: bool = False,
+) -> list[dict]:
+    """Settings around the limit of detection: eps is the ratio of densities outside and inside, eta the memory of labels, rho how
+    often the one categorical field shows the group. c is the mean degree; literal: inside is c * q / n times what it is divided by."""
+    out = []
+    for e in eps or _evenly(0.3, 0.6, 10):
+        inside = q * c / n * (1 + (q - 1) * e) if literal else q * c / n / (1 + (q - 1) * e)
+        for m in eta or _evenly(0.4, 0.8, 10):
+            for r in rho or _evenly(0.6, 1.0, 10):
+                out.append({**_setting(len(out), n, q, snapshots, block_matrix(q, inside, e * inside), m + (1 - m) / q, True, samples), "eps": e, "eta": m, "rho": r})
+    return out
+
+
+GRIDS = {"default": default_grid, "og": og_grid, "scaling": scaling_grid, "align": align_grid, "toy": toy_grid}
+
+
+def field_parameters(setting: dict, sample: int = 0) -> list[tuple[str, list[list[float]]]]:
+    """(distribution, parameters of each group) of a setting's metadata: a Poisson field and four flags, or the toy's category."""
+    q = setting["q"]
+    if "rho" in setting:
+        return [("categorical", transition_matrix(q, setting["rho"]))]
+    if setting["drawn"]:
+        draw = random.Random(setting["number"] * 1000 + sample)
+        return [("poisson", [[float(draw.randrange(3, 12))] for _ in range(q)]), ("indep bernoulli", [[draw.random() for _ in range(4)] for _ in range(q)])]
+    chances = [0.1 * x for x in (_evenly(1, 9, q) if q > 1 else [1.0])]
+    return [("poisson", [[5.0 * (g + 1)] for g in range(q)]), ("indep bernoulli", [[x] * 4 for x in chances])]
+
+
+def sampled_network(spark: SparkSession, setting: dict, sample: int = 0, directed: bool = False) -> tuple[DataFrame, DataFrame, list[tuple[DataFrame, str]]]:
+    """(edges, labels, fields) of a sample of a setting.
+
+    aligned: True, metadata follows the groups; False, groups of its own that evolve alike; a number, the groups redrawn until
+    their adjusted Rand index is below it in every snapshot.
+    """
+    q, seed = setting["q"], 10_000 * setting["number"] + 20 * sample
+    pi = transition_matrix(q, setting["p_stay"])
+    labels = label_chain(spark, setting["n"], setting["snapshots"], pi, seed=seed)
+    edges = planted_edges(labels, setting["beta"], directed, seed=seed + 1)
+    aligned = setting["aligned"]
+    if aligned is True:
+        shown = labels
+    elif aligned is False:
+        shown = label_chain(spark, setting["n"], setting["snapshots"], pi, seed=seed + 2)
+    else:
+        shown = aligned_labels(labels, q, aligned, seed=seed + 2)
+    fields = []
+    for dist, params in field_parameters(setting, sample):
+        if dist == "poisson":
+            meta = poisson_metadata(shown, [x[0] for x in params], seed=seed + 4)
+        elif dist == "indep bernoulli":
+            meta = bernoulli_metadata(shown, params, seed=seed + 6)
+        else:  # the field redraws among all categories, its own with them
+            rho = params[0][0] if q > 1 else 1.0
+            if rho * q < 1:
+                raise ValueError("rho must be at least that of chance")
+            meta = categorical_metadata(shown, q, (rho * q - 1) / (q - 1) if q > 1 else 1.0, seed=seed + 8)
+        fields.append((meta, dist))
+    return edges, labels, fields
 
 
 def network(spark: SparkSession, n: int, q: int, snapshots: int, c_in: float, c_out: float, p_stay: float, seed: int = 0, **_) -> tuple[DataFrame, DataFrame]:

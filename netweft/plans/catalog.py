@@ -440,9 +440,12 @@ for _name in ("poisson", "bernoulli", "multinomial"):
     QUERIES[f"greedy_{_name}_gain"] = _metadata_gain(_DISTS[_name])
 
 
-# What follows has no oracle: inference, simulation and learning. Fits have the budget of Settings, from all starts.
+# What follows has no oracle: inference, simulation and learning. Registered fits have a budget below that of Settings, see README.
+REGISTERED = Settings(n_runs=2, max_iter=8)
+
+
 def _fit(s, d) -> em.Fit:
-    model = em.TemporalBlockModel(T.edges(s, d), 3)
+    model = em.TemporalBlockModel(T.edges(s, d), 3, settings=REGISTERED)
     return model.fit_best(list(model.starts()))
 
 
@@ -458,7 +461,7 @@ def em_fit_block_probs(s, d):
 
 @query
 def em_hierarchy(s, d):
-    return em.hierarchy(T.edges(s, d), 2, 2)
+    return em.hierarchy(T.edges(s, d), 2, 2, REGISTERED)
 
 
 @query

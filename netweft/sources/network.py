@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +116,22 @@ def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
+def save_test_results(scores: DataFrame, labels: DataFrame | None, path: str) -> None:
+    """Scores and times of a study (number, sample, t, ...), and its labels where they are wanted, a folder for each setting."""
+    save(scores, f"{path}/scores", "number")
+    if labels is not None:
+        save(labels, f"{path}/labels", "number")
+
+
+def load_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(node, t, x) of a field from parquet with columns node, t and x, an array or a number; NaN is missing."""
+    df = spark.read.parquet(path)
+    x = F.col("x") if isinstance(df.schema["x"].dataType, ArrayType) else F.array("x")
+    values = F.transform(x.cast("array<double>"), lambda v: F.nanvl(v, F.lit(None).cast("double")))
+    rows = df.select(F.col("node").cast("long").alias("node"), F.col("t").cast("int").alias("t"), values.alias("x"))
+    return rows.where(F.exists("x", lambda v: v.isNotNull()))
+
+
 def export_profiles(age: DataFrame, region: DataFrame) -> DataFrame:
     """(node, t, career_age, region): whatever either table has."""
     return age.join(region, ["node", "t"], "full_outer")
