@@ -1,7 +1,8 @@
 """Statistics of labels (node, t, q), and scores between two partitions."""
 from __future__ import annotations
 
-from itertools import permutations
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -88,10 +89,45 @@ def mutual_information(table: DataFrame, by: str = "t") -> DataFrame:
     return both.withColumn("nmi", F.when(mean > 0, F.col("mi") / F.nullif(mean, F.lit(0.0))).otherwise(1.0))
 
 
+def assignment(gain: Sequence[Sequence[float]]) -> list[int]:
+    """The column of each row of a square matrix, each once, of the largest sum; by shortest augmenting paths, in cubic time."""
+    n = len(gain)
+    row_price, col_price, row_of = [0.0] * n, [0.0] * n, [-1] * n
+    for start in range(n):
+        slack, came, done, free, row = [math.inf] * n, [-1] * n, [False] * n, -1, start
+        last = -1
+        while free < 0:
+            for c in range(n):
+                left = -gain[row][c] - row_price[row] - col_price[c]
+                if not done[c] and left < slack[c]:
+                    slack[c], came[c] = left, last
+            best = min((c for c in range(n) if not done[c]), key=lambda c: slack[c])
+            step = slack[best]
+            row_price[start] += step
+            for c in range(n):
+                if done[c]:
+                    row_price[row_of[c]] += step
+                    col_price[c] -= step
+                else:
+                    slack[c] -= step
+            done[best], last = True, best
+            row = row_of[best]
+            free = best if row < 0 else -1
+        while free >= 0:
+            before = came[free]
+            row_of[free] = start if before < 0 else row_of[before]
+            free = before
+    out = [0] * n
+    for c, r in enumerate(row_of):
+        out[r] = c
+    return out
+
+
 def max_overlap(table: DataFrame, q: int) -> DataFrame:
     """One row (overlap): the largest share of equal labels under any renaming, less chance. The table has q * q sums at most."""
     cells = {(r["q"], r["r"]): r["n"] for r in table.groupBy("q", "r").agg(F.sum("n").alias("n")).collect()}
     total = sum(cells.values())
-    best = max((sum(cells.get((p[r], r), 0) for r in range(q)) for p in permutations(range(q))), default=0)
+    gain = [[cells.get((a, b), 0) for b in range(q)] for a in range(q)]
+    best = sum(gain[a][b] for a, b in enumerate(assignment(gain)))
     value = max(0.0, (best / total - 1 / q) / (1 - 1 / q)) if total and q > 1 else 0.0
     return table.sparkSession.createDataFrame([(value,)], "overlap double")

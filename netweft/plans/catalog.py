@@ -441,7 +441,7 @@ for _name in ("poisson", "bernoulli", "multinomial"):
 
 
 # What follows has no oracle: inference, simulation and learning. Registered fits have a budget below that of Settings, see README.
-REGISTERED = Settings(n_runs=2, max_iter=8)
+REGISTERED = Settings(n_runs=2, max_iter=6)
 
 
 def _fit(s, d) -> em.Fit:

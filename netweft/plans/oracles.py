@@ -216,4 +216,19 @@ ORACLES = {
     "greedy_multinomial_gain": _gain(["n_a", "n_n", "n_r"], cell_gain_formula(), total=True),
     "greedy_categorical_gain": _with(_YEARS, f"cl AS (SELECT node, t, {X.label_of('node', 't', Q)} AS q, CAST(node % 5 AS INT) AS l FROM years)", "cc AS (SELECT t, q, l, CAST(count(*) AS DOUBLE) AS x FROM cl GROUP BY 1, 2, 3)", "cn AS (SELECT t, q, CAST(count(*) AS DOUBLE) AS n FROM cl GROUP BY 1, 2)")
     + f"SELECT node, t, q, r, {rnd(categorical_gain_formula(), 'gain')} FROM (SELECT cl.node, cl.t, cl.q, g.r, a.x AS x_q, coalesce(b.x, 0.0) AS x_r, n.n AS n_q, coalesce(m.n, 0.0) AS n_r FROM cl JOIN (SELECT CAST(range AS INT) AS r FROM range(4)) g ON g.r <> cl.q JOIN cc a ON a.t = cl.t AND a.q = cl.q AND a.l = cl.l LEFT JOIN cc b ON b.t = cl.t AND b.q = g.r AND b.l = cl.l JOIN cn n ON n.t = cl.t AND n.q = cl.q LEFT JOIN cn m ON m.t = cl.t AND m.q = g.r) w",
+    # -1 stands for a label that isn't there. Moving a node changes four cells of the transition counts at most, and their rows' sums.
+    "greedy_transition_gain": _with(
+        _NET, _SYM, _PRES, _LAB,
+        "cnt AS (SELECT a.q AS x, b.q AS y, CAST(count(*) AS DOUBLE) AS n FROM lab a JOIN lab b ON b.node = a.node AND b.t = a.t + 1 GROUP BY 1, 2)",
+        "near AS (SELECT l.node, l.t, l.q, g.r, coalesce(p.q, -1) AS a, coalesce(f.q, -1) AS b FROM lab l LEFT JOIN lab p ON p.node = l.node AND p.t = l.t - 1"
+        f" LEFT JOIN lab f ON f.node = l.node AND f.t = l.t + 1 JOIN (SELECT CAST(range AS INT) AS r FROM range({Q})) g ON g.r <> l.q)",
+        "combo AS (SELECT DISTINCT a, q, b, r FROM near)",
+        "moved AS (SELECT a, q, b, r, a AS x, q AS y, -1 AS d FROM combo WHERE a >= 0 UNION ALL SELECT a, q, b, r, a, r, 1 FROM combo WHERE a >= 0"
+        " UNION ALL SELECT a, q, b, r, q, b, -1 FROM combo WHERE b >= 0 UNION ALL SELECT a, q, b, r, r, b, 1 FROM combo WHERE b >= 0)",
+        "cells AS (SELECT m.*, coalesce(cnt.n, 0.0) AS n FROM (SELECT a, q, b, r, x, y, sum(d) AS d FROM moved GROUP BY ALL) m LEFT JOIN cnt ON cnt.x = m.x AND cnt.y = m.y)",
+        "sums AS (SELECT m.*, coalesce(c.n, 0.0) AS n FROM (SELECT a, q, b, r, x, sum(d) AS d FROM moved GROUP BY ALL) m LEFT JOIN (SELECT x, sum(n) AS n FROM cnt GROUP BY x) c ON c.x = m.x)",
+        f"terms AS (SELECT a, q, b, r, ({X.xlogx('(n + d)')}) - ({X.xlogx('n')}) AS v FROM cells UNION ALL SELECT a, q, b, r, ({X.xlogx('n')}) - ({X.xlogx('(n + d)')}) FROM sums)",
+        "gains AS (SELECT a, q, b, r, sum(v) AS v FROM terms GROUP BY ALL)",
+    )
+    + f"SELECT node, t, q, r, {rnd('coalesce(v, 0.0)', 'gain')} FROM near LEFT JOIN gains USING (a, q, b, r)",
 }

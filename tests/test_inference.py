@@ -222,3 +222,32 @@ def test_studies_score_every_sample(spark, tmp_path, monkeypatch):
     cli.main(["--study", "toy", "--freeze", "--max-msg-iter", "3", "--n-runs", "1", str(tmp_path / "toy")])
     scores = spark.read.parquet(str(tmp_path / "toy/scores")).collect()
     assert len(scores) == 2 and all(r["ari"] > 0.7 and r["fit_seconds"] > 0 for r in scores) and spark.read.parquet(str(tmp_path / "toy/labels")).count() > 100
+
+
+def test_assignments_are_the_best_of_all():
+    from itertools import permutations
+    from random import Random
+
+    for n in range(1, 7):
+        for seed in range(20):
+            draw = Random(100 * n + seed)
+            gain = [[draw.choice([0, 0, 1, 5, draw.randrange(100)]) for _ in range(n)] for _ in range(n)]
+            got = partition.assignment(gain)
+            assert sorted(got) == list(range(n))
+            assert sum(gain[r][c] for r, c in enumerate(got)) == max(sum(gain[r][c] for r, c in enumerate(p)) for p in permutations(range(n)))
+    big = [[(r * 7 + c * 13) % 31 for c in range(30)] for r in range(30)]
+    assert sorted(partition.assignment(big)) == list(range(30))
+
+
+def test_missing_values_of_wide_tables(spark):
+    from netweft.sources import network
+
+    nan = float("nan")
+    wide = spark.createDataFrame([(1, 0, 2.0, nan), (2, 0, nan, nan), (3, 0, None, 0.0)], "node long, t int, a double, b double")
+    got = {(r["s"], r["node"]): r["x"] for r in network.extract_metadata(wide, {"first": ["a"], "both": ["a", "b"]}).collect()}
+    assert got == {(0, 1): [2.0], (1, 1): [2.0, None], (1, 3): [None, 0.0]}
+    flags = spark.createDataFrame([(0, 0, [0.5, 0.0, None, -2.0])], "node long, t int, x array<double>")
+    assert metadata.bernoulli(flags).first()["x"] == [1.0, 0.0, None, 0.0]
+    halves = spark.createDataFrame([(0, 0, [0.5, 1.5, 0.25]), (1, 0, [0.5, 0.5, 0.0])], "node long, t int, x array<double>")
+    assert [r["x"] for r in metadata.multinomial_counts(halves).sort("node").collect()] == [[201.0, 1001.0, 1.0], [1.0, 1.0, 0.0]]
+    assert [r["x"] for r in metadata.multinomial_counts(halves, True).sort("node").collect()] == [[1000.0, 1001.0, 1000.0], [1000.0, 1000.0, 0.0]]

@@ -100,7 +100,7 @@ def test_registered_fits_have_the_stated_budget(spark, data, monkeypatch):
         return em.Fit(labels, labels, [], [], {0: [[0.5]]}, float(len(seen)), True)
 
     monkeypatch.setattr(em.TemporalBlockModel, "fit", fit)
-    budget = Settings(n_runs=2, max_iter=8)
+    budget = Settings(n_runs=2, max_iter=6)
     for name, fits in (("em_fit_labels", 2), ("em_fit_block_probs", 2), ("em_hierarchy", 4)):
         seen.clear()
         assert catalog.QUERIES[name](spark, data).count() > 0
