@@ -251,3 +251,48 @@ def test_missing_values_of_wide_tables(spark):
     halves = spark.createDataFrame([(0, 0, [0.5, 1.5, 0.25]), (1, 0, [0.5, 0.5, 0.0])], "node long, t int, x array<double>")
     assert [r["x"] for r in metadata.multinomial_counts(halves).sort("node").collect()] == [[201.0, 1001.0, 1.0], [1.0, 1.0, 0.0]]
     assert [r["x"] for r in metadata.multinomial_counts(halves, True).sort("node").collect()] == [[1000.0, 1001.0, 1000.0], [1000.0, 1000.0, 0.0]]
+
+
+@pytest.mark.parametrize("settings", [{}, {"alpha_use_all": False, "informative": True, "msg_conv_tol": 0.05}])
+def test_arrays_give_the_fit_of_the_tables(spark, monkeypatch, settings):
+    """Several blocks, a hub, snapshots that nodes miss, one before 0, a self-loop, large and negative ids."""
+    from netweft.operators import packed
+
+    big = 1 << 41
+    rows = [(t, a, b) for t in (-1, 0, 1, 2, 4) for a in range(24) for b in range(a) if (a * b + a + 2 * t) % 5 == 0]
+    rows += [(t, big, a) for t in (0, 1, 2) for a in range(24)] + [(1, -7, 3), (2, -7, big), (2, -7, 4), (1, 5, 5)]
+    edges = spark.createDataFrame([(*x, 1.0) for x in rows], "t int, src long, dst long, w double")
+    monkeypatch.setattr(packed, "FEW", 9)
+    named, fits = [f"{x}{k}" for x in ("p", "fwd", "bwd", "w") for k in range(3)], []
+    for arrays in (False, True):
+        model = em.TemporalBlockModel(edges, 3, settings=Settings(max_iter=3, max_msg_iter=7, fe_freq=2, **settings), arrays=arrays)
+        fits.append(model.fit(em.hashed_labels(model.present, 3)))
+    want, got = fits
+    assert got.energy == pytest.approx(want.energy, abs=1e-9) and got.converged == want.converged
+    assert got.alpha == pytest.approx(want.alpha, abs=1e-9) and sum(got.pi, []) == pytest.approx(sum(want.pi, []), abs=1e-9)
+    assert got.beta.keys() == want.beta.keys() and all(sum(got.beta[t], []) == pytest.approx(sum(want.beta[t], []), abs=1e-9) for t in want.beta)
+    assert [h["moved"] for h in got.history] == pytest.approx([h["moved"] for h in want.history], abs=1e-9)
+    a, b = ({(r["node"], r["t"]): [r[c] for c in named] for r in f.marginals.collect()} for f in (want, got))
+    assert a.keys() == b.keys() and len(a) == model.present.count()
+    assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-9)) for k in a for x, y in zip(a[k], b[k]))
+    for name in ("labels", "highest"):
+        assert {tuple(r) for r in getattr(want, name).collect()} == {tuple(r) for r in getattr(got, name).collect()}
+
+
+def test_arrays_refuse_what_they_do_not_hold(spark, net):
+    for wrong in ({"directed": True}, {"deg_corr": True}, {"fields": [(net[1], "poisson")]}, {"semantics": Semantics(literal_floor=True)}):
+        with pytest.raises(ValueError):
+            em.TemporalBlockModel(net[0], 2, arrays=True, **wrong)
+    model = em.TemporalBlockModel(net[0], 2, arrays=True)
+    for labels in (net[1].where("node > 5"), net[1].unionByName(spark.createDataFrame([(-1, 0, 1)], net[1].schema))):
+        with pytest.raises(Exception, match="a label for every row"):
+            model.fit(labels.select("node", "t", "q"), max_iter=1, max_msg_iter=1)
+
+
+def test_registered_fits_keep_messages_as_arrays(spark, data, monkeypatch):
+    from netweft.plans import catalog
+
+    monkeypatch.setattr(catalog, "REGISTERED", Settings(n_runs=1, max_iter=1, max_msg_iter=2))
+    monkeypatch.setattr(bp, "sweep_messages", None)
+    rows = {name: catalog.QUERIES[name](spark, data).count() for name in ("em_fit_labels", "em_fit_block_probs")}
+    assert rows["em_fit_labels"] > 0 and rows["em_fit_block_probs"] == 9 * 7
