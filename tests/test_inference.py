@@ -294,5 +294,5 @@ def test_registered_fits_keep_messages_as_arrays(spark, data, monkeypatch):
 
     monkeypatch.setattr(catalog, "REGISTERED", Settings(n_runs=1, max_iter=1, max_msg_iter=2))
     monkeypatch.setattr(bp, "sweep_messages", None)
-    rows = {name: catalog.QUERIES[name](spark, data).count() for name in ("em_fit_labels", "em_fit_block_probs")}
-    assert rows["em_fit_labels"] > 0 and rows["em_fit_block_probs"] == 9 * 7
+    rows = {name: catalog.QUERIES[name](spark, data).count() for name in ("em_fit_labels", "em_fit_block_probs", "em_hierarchy")}
+    assert rows["em_fit_labels"] * 2 == rows["em_hierarchy"] > 0 and rows["em_fit_block_probs"] == 9 * 7
