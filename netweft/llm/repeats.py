@@ -34,6 +34,10 @@ anchor too. One with more than ``most`` different stretches isn't
 sorted: its windows are counted by their hashes instead, exactly, which Spark
 deals out by window.
 
+Passages of ``words`` words, whatever their bytes, are found the same way, in
+documents of which each word is a code of four bytes (a hash; different words
+have one code once in 2^32). They are told of, not removed.
+
 Documents are known by a digest of their bytes, so null and repeated ids are no
 matter: equal texts have equal results. A null text is empty and keeps nothing;
 an empty table has no rows; other columns are ignored. A very long text is read
@@ -57,9 +61,12 @@ from netweft.llm.shingles import mixed
 from netweft.plans.scratch import remove, stored
 
 LENGTH = 400
+#: Words of a passage that is told of.
+WORDS = 51
 #: Different stretches that an anchor may have to be sorted; suffixes that a task sorts at a time.
 MOST, SORTED = 200_000, 600_000
 _GRAM, _SYMBOLS, _SEGMENT = 32, 4, 1 << 23
+_CODE = 4
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -254,11 +261,22 @@ def _phases(size: int, place: int, turn: int, turns: int, block: int) -> list[tu
     return [(p, (size - p) // block) for p in ways if (size - p) // block >= _SYMBOLS]
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as codes of their words, which whitespace as in ASCII divides."""
+    for part in pieces(batches):
+        codes = [b"".join(map(xxhash.xxh32_digest, text.encode().split())) for text in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(codes, pa.binary())], ["digest", "text"])
+
+
+def _bytes(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode()
+
+
 def _listed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
         columns: list[list] = [[], [], [], [], [], []]
         for digest, text in zip(part.column("digest").to_pylist(), part.column("text").to_pylist()):
-            data = text.encode()
+            data = _bytes(text)
             found = stretches(data, length)
             if not found:
                 continue
@@ -280,7 +298,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         rows = []
         for digest, text, asked in zip(*(part.column(x).to_pylist() for x in ("digest", "text", "asked"))):
             if digest != last:
-                data, last = text.encode(), digest
+                data, last = _bytes(text), digest
                 rows += [x | {"digest": digest, "data": data[x["start"] : x["start"] + x["n"] + length - 1]} for x in asked]
         yield pa.RecordBatch.from_pylist(rows, _CUT)
 
@@ -397,11 +415,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
             spans.append(merged)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(spans, kind), pa.array(kept, pa.binary())], ["key", "spans", "kept"])
+        told = [x for x in part.schema.names if x == "passage"]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("key"), pa.array(spans, kind), pa.array(kept, pa.binary()), *map(part.column, told)], ["key", "spans", "kept", *told]
+        )
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> tuple[DataFrame, list[str]]:
-    """(digest, start, end) of covered bytes, overlapping ones not yet joined, of docs (key, text, digest); and the folders in use.
+    """(digest, start, end) of covered bytes, overlapping ones not yet joined, of docs (digest, text or bytes); and the folders in use.
 
     Sums by anchor are tables of their own before they are joined, so that adaptive execution can split an anchor or a
     text that has many rows.
@@ -467,32 +488,43 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> t
     return whole.unionByName(by_anchor).unionByName(by_turn).unionByName(by_count), [occurring_uri, distinct_uri, sizes_uri, asked_uri, cut_uri]
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST, words: int | None = None) -> DataFrame:
     """(key, spans array<struct<start, end>>, kept binary): the removed runs of bytes and what is left, for each row of ``docs``.
 
     length: a multiple of four, and at least 40.
+    words: asks for a column more, passage boolean: the text has as many words in a row that are anywhere else too, the
+    same text included; 10 at least.
     """
     if length % _SYMBOLS or length < _GRAM + 8:
         raise ValueError("length must be a multiple of 4 and at least 40")
+    if words is not None and words * _CODE < _GRAM + 8:
+        raise ValueError("words must be at least 10")
     rows = keyed_texts(docs, key, text).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     spans, uris = repeated_spans(rows, length, most)
     found, _ = stored(spans.groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
     remove(docs.sparkSession, *uris)
+    told = []
+    if words is not None:
+        coded = rows.select("digest", "text").mapInArrow(_coded, "digest binary, text binary")
+        spans, uris = repeated_spans(coded, words * _CODE, most)
+        passages, _ = stored(spans.select("digest").distinct().withColumn("passage", F.lit(True)), "passages")
+        remove(docs.sparkSession, *uris)
+        found, told = found.join(passages, "digest", "full"), ["passage"]
     return (
         rows.join(found, "digest", "left")
-        .select("key", "text", "found")
-        .mapInArrow(_kept, "key long, spans array<struct<start long, end long>>, kept binary")
+        .select("key", "text", "found", *(F.coalesce(x, F.lit(False)).alias(x) for x in told))
+        .mapInArrow(_kept, "key long, spans array<struct<start long, end long>>, kept binary" + ", passage boolean" * len(told))
         .withColumnRenamed("key", key)
     )
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of 400 bytes in whole ``documents``."""
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+    """Repeats of 400 bytes in whole ``documents``; ``repeated`` also tells of passages of over 50 words that are shorter and stay."""
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=WORDS).select(
         "doc_id",
         (F.octet_length("kept") + F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])).alias("n_bytes"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
-        (F.size("spans") > 0).alias("repeated"),
+        ((F.size("spans") > 0) | F.col("passage")).alias("repeated"),
     )

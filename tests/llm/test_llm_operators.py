@@ -496,6 +496,33 @@ def test_repeats_sorted_suffixes_are_in_order():
         assert common[k] == min(n, repeats._SYMBOLS)
 
 
+@pytest.mark.parametrize("most", [1, 1000])
+def test_repeats_of_words_are_those_of_all_passages(spark, most):
+    rng = random.Random(21)
+    base = [[rng.choice(["a", "é", "der", "thin", "x" * 50]) + str(rng.randint(0, 9)) for _ in range(40)] for _ in range(4)]
+    texts = ["".join(w + rng.choice([" ", "\n", " \t"]) for _ in range(rng.randint(0, 3)) for w in rng.choice(base)[rng.randint(0, 30) :][: rng.randint(5, 14)]) for _ in range(60)]
+    texts += [None, "", " \n ", "few words", "one " * 10, "two " * 11, "x" * 900, " ".join(base[0]), " ".join(base[0])]
+    seen = Counter(tuple(w[k : k + 10]) for t in texts for w in [(t or "").encode().split()] for k in range(len(w) - 9))
+    want = [any(seen[tuple(w[k : k + 10])] > 1 for k in range(len(w) - 9)) for t in texts for w in [(t or "").encode().split()]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["passage"] for r in repeats.without_repeats(df, most=most, words=10).collect()}
+    assert got == dict(enumerate(want)) and 10 < sum(want) < len(want) - 10
+    with pytest.raises(ValueError):
+        repeats.without_repeats(df, words=9)
+
+
+def test_repeats_query_tells_of_passages_of_over_50_words_and_leaves_short_ones(spark, tmp_path):
+    draw = lambda n, k: [f"{k}é{i}" for i in range(n)]
+    shared, short, long = draw(51, "s"), draw(50, "t"), draw(90, "long")
+    texts = [" ".join(draw(20, k) + x + draw(20, k + "z")) for k, x in zip("abcdef", [shared, shared, short, short, long, long])]
+    texts += [" ".join(draw(30, "g")), "\n".join(draw(51, "h") + draw(51, "h")), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(repeats.op3_repeats(spark, str(tmp_path)).collect())
+    assert [r["repeated"] for r in got] == [True, True, False, False, True, True, False, True, False]
+    assert [r["n_removed"] > 0 for r in got] == [k in (4, 5) for k in range(9)]
+    assert [r["n_bytes"] for r in got] == [len((t or "").encode()) for t in texts]
+
+
 def test_repeats_on_odd_rows(odd, nothing):
     got = sorted((str(r["doc_id"]), [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in repeats.without_repeats(odd).collect())
     rows = texts_of(odd)
