@@ -1,6 +1,8 @@
 """Trial numbers of groups, given and frozen parameters, scores, tuning, studies and the command line."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +298,40 @@ def test_registered_fits_keep_messages_as_arrays(spark, data, monkeypatch):
     monkeypatch.setattr(bp, "sweep_messages", None)
     rows = {name: catalog.QUERIES[name](spark, data).count() for name in ("em_fit_labels", "em_fit_block_probs", "em_hierarchy")}
     assert rows["em_fit_labels"] * 2 == rows["em_hierarchy"] > 0 and rows["em_fit_block_probs"] == 9 * 7
+
+
+@pytest.mark.parametrize("query, fits", [("em_fit_block_probs", 5)])
+def test_registered_fits_run_all_starts_steps_and_sweeps(spark, data, monkeypatch, query, fits):
+    from netweft.plans import catalog
+
+    seen = []
+
+    def fit(self, labels, **options):
+        seen.append((replace(self.settings, at_once=4), options))
+        return em.Fit(labels, labels, [], [], {0: [[0.5]]}, float(len(seen)), True)
+
+    monkeypatch.setattr(em.TemporalBlockModel, "fit", fit)
+    assert catalog.QUERIES[query](spark, data).count() > 0
+    assert len(seen) == fits and all(x == (Settings(), {}) for x in seen)
+
+
+@pytest.mark.parametrize("options", [{}, {"frozen": True}, {"truth": True}])
+def test_blocks_give_the_fit_of_one_block(spark, monkeypatch, options):
+    from netweft.operators import packed
+
+    rows = [(t, a, b) for t in (-1, 0, 1, 2, 4) for a in range(24) for b in range(a) if (a * b + a + 2 * t) % 5 == 0]
+    edges = spark.createDataFrame([(*x, 1.0) for x in rows], "t int, src long, dst long, w double")
+    model = em.TemporalBlockModel(edges, 3, settings=Settings(max_iter=4, max_msg_iter=4, fe_freq=3), arrays=True)
+    labels, fits, blocks, init = em.hashed_labels(model.present, 3), [], [], packed.Packed.__init__
+    options = {**options, "truth": labels} if "truth" in options else options
+    monkeypatch.setattr(packed.Packed, "__init__", lambda self, *a: (init(self, *a), blocks.append(self.blocks))[0])
+    monkeypatch.setattr(packed, "FEW", 150)
+    for whole in (packed.WHOLE, 0):
+        monkeypatch.setattr(packed, "WHOLE", whole)
+        fits.append(model.fit(labels, **options))
+    one, many = fits
+    assert blocks[0] == 1 < blocks[1] and one.energy == pytest.approx(many.energy, abs=1e-9) and one.score == many.score
+    assert one.alpha == pytest.approx(many.alpha, abs=1e-9) and all(sum(one.beta[t], []) == pytest.approx(sum(many.beta[t], []), abs=1e-9) for t in one.beta)
+    near = lambda f: [(h["iteration"], h["moved"], h["energy"] or 0.0) for h in f.history]
+    assert all(x == pytest.approx(y, abs=1e-9) for x, y in zip(near(one), near(many), strict=True))
+    assert {tuple(r) for r in one.labels.collect()} == {tuple(r) for r in many.labels.collect()}
