@@ -300,7 +300,7 @@ def test_registered_fits_keep_messages_as_arrays(spark, data, monkeypatch):
     assert rows["em_fit_labels"] * 2 == rows["em_hierarchy"] > 0 and rows["em_fit_block_probs"] == 9 * 7
 
 
-@pytest.mark.parametrize("query, fits", [("em_fit_block_probs", 5), ("em_fit_labels", 5)])
+@pytest.mark.parametrize("query, fits", [("em_fit_block_probs", 5), ("em_fit_labels", 5), ("em_hierarchy", 15)])
 def test_registered_fits_run_all_starts_steps_and_sweeps(spark, data, monkeypatch, query, fits):
     from netweft.plans import catalog
 
